@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import text_queries
+from . import neardup_queries, text_queries
 
-_MODULES = (text_queries,)
+_MODULES = (text_queries, neardup_queries)
 
 
 def queries() -> dict:
