@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import leak_queries, mixture_queries, neardup_queries, packing_queries, termfreq_queries, text_queries
+from . import leak_queries, mixture_queries, neardup_queries, packing_queries, reading_queries, termfreq_queries, text_queries
 
-_MODULES = (text_queries, neardup_queries, mixture_queries, termfreq_queries, packing_queries, leak_queries)
+_MODULES = (text_queries, neardup_queries, mixture_queries, termfreq_queries, packing_queries, leak_queries, reading_queries)
 
 
 def queries() -> dict:
