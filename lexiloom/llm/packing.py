@@ -249,6 +249,8 @@ def sequences(counted: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         n = todo.count()
         shards = max(1, -(-n // SHARD))
         keyed = todo.select(*_ITEM, F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(shards)).alias("shard"))
+        # as many tasks as shards: merged by their few bytes, all shards would be packed by one task
+        keyed = keyed.repartition(shards, "shard")
         packed = materialise(keyed.groupBy("shard").applyInPandas(_pack_shard(capacity), _PACKED), "packed")
         named = F.concat_ws("-", F.lit(str(turn)), "shard", "bin")
         done = packed if shards == 1 else packed.where(F.col("fill") >= (1 - OPEN) * capacity)
