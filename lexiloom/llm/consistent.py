@@ -18,6 +18,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ _MAY_CHANGE = f"[^ !-~ぁ-ゖ{_KANA}一-鿿、。「」]|^ | $|  |[{_KANA}][{_LI
 
 
 @lru_cache(maxsize=1)
-def _unicode() -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]:
+def _unicode() -> tuple[list, list, list]:
     """Decompositions (none for format characters), combining properties, and compositions of whole clusters."""
     decomposed, properties, composed = [], {}, []
     for code in range(sys.maxunicode + 1):
@@ -60,14 +61,10 @@ def _unicode() -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]:
                 properties.setdefault(part, [0, False])[1] = True
     for ch in properties:
         properties[ch][0] = unicodedata.combining(ch)
-    return (
-        pd.DataFrame(decomposed, columns=["ch", "parts"]),
-        pd.DataFrame([(k, *v) for k, v in properties.items()], columns=["ch", "ccc", "glue"]),
-        pd.DataFrame(composed, columns=["cluster", "composite"]),
-    )
+    return decomposed, [(k, *v) for k, v in properties.items()], composed
 
 
-def _look_alikes() -> pd.DataFrame:
+def _look_alikes() -> list[tuple]:
     """ch and what to write for it in a Latin, Cyrillic, Greek or katakana word."""
     rows: dict[str, list] = {}
     for column, pairs in ((1, CYRILLIC_LATIN), (2, GREEK_LATIN)):
@@ -77,21 +74,24 @@ def _look_alikes() -> pd.DataFrame:
             row[column] = row[column] or other
     for ideograph, kana in IDEOGRAPH_KANA.items():
         rows.setdefault(ideograph, [None] * 4)[3] = kana
-    return pd.DataFrame([(k, *v) for k, v in rows.items()], columns=["base", "latin", "cyrillic", "greek", "kana"])
+    return [(k, *v) for k, v in rows.items()]
 
 
+_STRING, _STRINGS = pa.string(), pa.list_(pa.string())
 _TABLES = {
-    "decomposed": ("ch string, parts array<string>", lambda: _unicode()[0]),
-    "properties": ("ch string, ccc int, glue boolean", lambda: _unicode()[1]),
-    "composed": ("cluster string, composite string", lambda: _unicode()[2]),
-    "look_alikes": ("base string, latin string, cyrillic string, greek string, kana string", _look_alikes),
+    "decomposed": ([("ch", _STRING), ("parts", _STRINGS)], lambda: _unicode()[0]),
+    "properties": ([("ch", _STRING), ("ccc", pa.int32()), ("glue", pa.bool_())], lambda: _unicode()[1]),
+    "composed": ([("cluster", _STRING), ("composite", _STRING)], lambda: _unicode()[2]),
+    "look_alikes": ([(n, _STRING) for n in ("base", "latin", "cyrillic", "greek", "kana")], _look_alikes),
 }
 
 
 def _mapping(spark: SparkSession, name: str) -> DataFrame:
     """A mapping table; its size is bounded by the repertoire, so it is broadcast."""
-    schema, make = _TABLES[name]
-    return F.broadcast(spark.createDataFrame(make().astype(object).where(lambda d: d.notna(), None), schema))
+    fields, make = _TABLES[name]
+    rows = make()
+    columns = [pa.array(list(c), kind) for c, (_, kind) in zip(zip(*rows), fields)]
+    return F.broadcast(spark.createDataFrame(pa.table(columns, names=[n for n, _ in fields])))
 
 
 def may_change(text: Column) -> Column:
