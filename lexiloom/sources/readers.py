@@ -46,7 +46,7 @@ def json_lines(spark: SparkSession, path: str, name: str, version: str = "1.0.0"
 def json_texts(spark: SparkSession, path: str) -> DataFrame:
     """name, text, problem, canonical of whole JSON files: strict reading with the reason where it fails."""
     files = spark.read.format("binaryFile").load(path)
-    text = F.when(F.is_valid_utf8("content"), F.decode("content", F.lit("UTF-8")))
+    text = F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8"))
     rows = files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), text.alias("text"))
     problem = F.when(F.col("text").isNull(), "not UTF-8").otherwise(jsontext.strict_problem("text"))
     return rows.withColumn("problem", problem).withColumn("canonical", jsontext.is_canonical("text"))
