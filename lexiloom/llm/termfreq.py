@@ -66,17 +66,9 @@ def _counters(heavy: list[tuple[str, str]]):
 
 def frequencies(records: DataFrame) -> DataFrame:
     """field, term, n_occurrences, n_records of all terms; records has field and terms (array<string>), one row each."""
-    heavy = heavy_terms(records)
-    spark = records.sparkSession
-    schema = "field string, term string, n long, n_records long"
-    counted = records.select("field", "terms").mapInArrow(_counters(heavy), schema)
-    names = spark.createDataFrame(heavy or [("", "")], "field string, term string").limit(len(heavy)).withColumn("heavy", F.lit(True))
-    parted = counted.join(F.broadcast(names), ["field", "term"], "left")
-    sums = [F.sum("n").alias("n_occurrences"), F.sum("n_records").alias("n_records")]
-    # heavy rows are few (terms times partitions) and light ones have no hot key: both shuffles are even
-    light = parted.where("heavy is null").groupBy("field", "term").agg(*sums)
-    hot = parted.where("heavy").groupBy("field", "term").agg(*sums)
-    return light.unionByName(hot)
+    counted = records.select("field", "terms").mapInArrow(_counters(heavy_terms(records)), "field string, term string, n long, n_records long")
+    # the union of both tables leaves each partition: of a heavy term one row, of the others one per record that holds them
+    return counted.groupBy("field", "term").agg(F.sum("n").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
 
 
 def marked(counts: DataFrame, totals: DataFrame, *, rare: int = 2, common: int = 40) -> DataFrame:
