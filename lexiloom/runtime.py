@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_shipped: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the session's Python workers import this package, wherever they start; once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix="lexiloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    code, root = os.path.join(folder, "lexiloom.zip"), Path(__file__).resolve().parent
+    with zipfile.ZipFile(code, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    context.addPyFile(code)
+    _shipped[context.applicationId] = code
+
+
 _local_folder: list[str] = []
 
 
