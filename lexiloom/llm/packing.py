@@ -14,10 +14,11 @@ blocks of 100,000 characters; an empty table gives no sequence.
 from __future__ import annotations
 
 import base64
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -29,8 +30,10 @@ from ..runtime import materialise, public_vocabulary
 CAPACITY = 4096
 SHARD = 8192
 OPEN = 0.002
-#: Fillings tried for a bin at most, steps to find them, and bins completed at most in a shard's search.
-WIDTH, STEPS, NODES = 4, 3000, 20_000
+#: Fillings tried for a bin at most, steps to find these, and steps of a shard's whole search, after which its incumbent stands.
+WIDTH, STEPS, WORK = 4, 3000, 400_000
+#: With at most so many items left, the sharper bound is taken and states that led nowhere are remembered.
+FEW = 400
 
 # Fixed value: how the byte-level vocabularies cut a text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -103,7 +106,22 @@ def least_bins(left: Counter, capacity: int) -> int:
     return max(-(-total // capacity), sum(n for s, n in left.items() if 2 * s > capacity))
 
 
-def fillings(left: Counter, order: list[int], room: int) -> list[tuple[int, ...]]:
+def sharper_bound(left: Counter, capacity: int) -> int:
+    """The most that any cut k gives: items above capacity - k stand alone, those above half need bins of their own, the rest fill what these leave."""
+    sizes = sorted(s for s, n in left.items() for _ in range(n))
+    sums = [0, *accumulate(sizes)]
+    half = bisect_right(sizes, capacity // 2)
+    best = 0
+    for k in {0, *sizes[:half]}:
+        alone = len(sizes) - max(half, bisect_right(sizes, capacity - k))
+        at = len(sizes) - alone
+        spare = (at - half) * capacity - (sums[at] - sums[half])
+        small = sums[half] - sums[bisect_left(sizes, k)]
+        best = max(best, len(sizes) - half + max(0, -(-(small - spare) // capacity)))
+    return best
+
+
+def fillings(left: Counter, order: list[int], room: int, spent: list[int]) -> list[tuple[int, ...]]:
     """Up to WIDTH undominated sets of the sizes left that fit into room, the fullest first.
 
     order are the sizes left, ascending. Larger sizes are tried first; a set that can't get fuller than the worst one kept is
@@ -138,6 +156,7 @@ def fillings(left: Counter, order: list[int], room: int) -> list[tuple[int, ...]
         return False
 
     extend(room, len(order), [])
+    spent[0] += steps
     kept.sort()
     return [f for waste, f in kept if not _dominated(f, waste, left, order)] or [kept[0][1] if kept else ()]
 
@@ -166,32 +185,48 @@ def complete(items: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     bins: list[list[int]] = []
     # each level: the fillings of its bin not tried yet
     stack: list[list[tuple[int, ...]]] = []
-    total, nodes = sum(items), 0
+    total, count, spent = sum(items), len(items), [0]
+    hopeless: dict[tuple, int] = {}
 
     def take(bin_: list[int], sign: int) -> None:
-        nonlocal total
+        nonlocal total, count
         for size in bin_:
             left[size] -= sign
             total -= sign * size
+            count -= sign
             if sign > 0 and not left[size]:
                 del order[bisect_right(order, size) - 1]
             elif sign < 0 and left[size] == 1:
                 insort(order, size)
 
+    def bounded() -> bool:
+        """Whether what is left can't lead to fewer bins than the incumbent."""
+        room = len(best) - len(bins)
+        if max(-(-total // capacity), 1) >= room:
+            return True
+        if count > FEW:
+            return False
+        spent[0] += 4 * count
+        state = tuple((s, left[s]) for s in order)
+        if hopeless.get(state, 0) >= room or sharper_bound(+left, capacity) >= room:
+            return True
+        hopeless[state] = room  # it is followed now; when it comes again, it led nowhere
+        return False
+
     descend = True
-    while len(best) > bound and nodes < NODES:
+    while len(best) > bound and spent[0] < WORK:
+        if descend and not order:
+            if len(bins) < len(best):
+                best = [list(b) for b in bins]
+            descend = False
+            continue
+        if descend and bounded():
+            descend = False
+            continue
         if descend:
-            if not order:
-                if len(bins) < len(best):
-                    best = [list(b) for b in bins]
-                descend = False
-                continue
-            if len(bins) + max(-(-total // capacity), 1) >= len(best):
-                descend = False
-                continue
             largest = order[-1]
             take([largest], 1)
-            options = fillings(left, order, capacity - largest)
+            options = fillings(left, order, capacity - largest, spent)
             take([largest], -1)
             stack.append([(largest, *f) for f in reversed(options)])
         else:
@@ -205,10 +240,10 @@ def complete(items: list[int], capacity: int = CAPACITY) -> list[list[int]]:
             take(bins.pop(), -1)
         if not stack:
             break
+        spent[0] += 1
         chosen = list(stack[-1].pop())
         take(chosen, 1)
         bins.append(chosen)
-        nodes += 1
         descend = True
     return best
 
