@@ -42,11 +42,16 @@ def classes(rows: DataFrame, by: str, row_id: str, text: str) -> tuple[DataFrame
     cls numbers the classes. toks are the words as 64-bit numbers that differ between values of by, the rarest first; n - need + 2
     of them lead. probe are those words of toks that lead in some class. Both are tables of the shared folder.
     """
-    rows = rows.select(F.col(by).alias("by"), F.col(row_id).alias("row_id"), F.array_sort(words(F.col(text))).alias("set"))
-    rows = rows.where(F.size("set") > 0).withColumn("tid", F.sha2(F.concat_ws(" ", "set"), 256))
-    sets = rows.groupBy("by", "tid").agg(F.first("set").alias("set"), F.collect_list("row_id").alias("row_ids"))
-    sets = materialise(sets.withColumn("cls", F.monotonically_increasing_id()), "sets")
-    members = sets.select("by", "cls", F.explode("row_ids").alias("row_id"))
+    rows = rows.select(F.col(by).alias("by"), F.col(row_id).alias("row_id"), F.array_sort(words(F.col(text))).alias("set")).where(F.size("set") > 0)
+    for seed in range(9):
+        # a class's number is a hash of its words, so rows needn't be brought together; two classes of one number ask for another seed
+        named = rows.withColumn("tid", F.sha2(F.concat_ws(" ", "by", F.array_join("set", " ")), 256)).withColumn("cls", F.xxhash64(F.lit(seed), "tid"))
+        members = materialise(named.select("by", "row_id", "cls"), "members")
+        sets = materialise(named.groupBy("by", "cls", "tid").agg(F.first("set").alias("set")), "sets")
+        if sets.count() == sets.agg(F.countDistinct("cls")).first()[0]:
+            break
+    else:
+        raise RuntimeError("class numbers collide")
 
     one = sets.select("by", "cls", F.explode(F.transform("set", lambda w: F.xxhash64("by", w))).alias("word"))
     df = one.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
