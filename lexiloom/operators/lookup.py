@@ -65,8 +65,7 @@ def expanded(entries: DataFrame, headword: str) -> DataFrame:
 def page(found: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """The first rows in the given order, with total: the rows before the limit."""
     limit = _limit(limit)
-    total = found.agg(F.count(F.lit(1)).alias("total"))
-    return found.orderBy(*order).limit(limit).crossJoin(F.broadcast(total))  # one row
+    return found.orderBy(*order).limit(limit).withColumn("total", F.lit(found.count()).cast("long"))
 
 
 def pools(targets: DataFrame, entries: DataFrame, k: int) -> DataFrame:
