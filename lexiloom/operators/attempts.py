@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 # What the name of an audit file can be.
+_Q = "(q(?:0[1-9]|1[0-9]|20))"
 FILE_KINDS = {
-    "part": "^(q[0-9]{2})\\.(gen[1-3])\\.(candidate|machine|request|review)\\.json$",
-    "invalid": "^(q[0-9]{2})\\.(gen[1-3])\\.(candidate|review)\\.invalid([123])\\.txt$",
-    "set_check": "^set_check\\.(?:(q[0-9]{2})\\.(gen[1-3])|final)\\.json$",
-    "outcome": "^slot\\.(q[0-9]{2})\\.outcome\\.json$",
+    "part": f"^{_Q}\\.(gen[1-3])\\.(candidate|machine|request|review)\\.json\\z",
+    "invalid": f"^{_Q}\\.(gen[1-3])\\.(candidate(?=\\.invalid[12])|review)\\.invalid([123])\\.txt\\z",
+    "set_check": f"^set_check\\.(?:{_Q}\\.(gen[1-3])|final)\\.json\\z",
+    "outcome": f"^slot\\.{_Q}\\.outcome\\.json\\z",
 }
 
 

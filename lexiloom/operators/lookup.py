@@ -82,7 +82,13 @@ def pools(targets: DataFrame, entries: DataFrame, k: int) -> DataFrame:
 
 
 #: Parts of speech that may stand in for one another in a relaxed pool.
-COMPATIBLE = (("noun", "pronoun", "number"), ("verb", "be-verb", "do-verb", "have-verb", "modal auxiliary"), ("adjective", "determiner"), ("adverb", "interjection"), ("preposition", "conjunction", "infinitive-to"))
+COMPATIBLE = (
+    ("noun", "number"),
+    ("verb", "be-verb", "do-verb", "have-verb", "modal auxiliary"),
+    ("adjective", "determiner"),
+    ("adverb",),
+    ("pronoun", "preposition", "conjunction", "interjection", "infinitive-to"),
+)
 
 
 def compatible_group(pos: Column | str) -> Column:

@@ -17,6 +17,23 @@ from ..functions import levels
 TOKEN = "[A-Za-z]+(?:['’][A-Za-z]+)?|[0-9]+(?:[.,][0-9]+)*(?:st|nd|rd|th)?|[^\\sA-Za-z0-9]"
 
 
+# Lemmas that replace a tagger's for fragments of contractions.
+LEMMA_FIXES = {"gon": "go", "na": "to", "ca": "can", "wo": "will", "sha": "shall"}
+
+# Parts of speech of the vocabulary for each tag, the preferred one first.
+TAG_POS = {
+    "NN": ("noun",), "NNS": ("noun",), "NNP": ("noun",), "NNPS": ("noun",),
+    "JJ": ("adjective",), "JJR": ("adjective",), "JJS": ("adjective",),
+    "VB": ("verb",), "VBP": ("verb",), "VBZ": ("verb",), "VBD": ("verb",), "VBN": ("verb",), "VBG": ("verb",),
+    "MD": ("modal auxiliary",),
+    "RB": ("adverb",), "RBR": ("adverb",), "RBS": ("adverb",), "WRB": ("adverb",),
+    "PRP": ("pronoun",), "PRP$": ("pronoun",), "WP": ("pronoun",), "WP$": ("pronoun",),
+    "DT": ("determiner", "pronoun"), "PDT": ("determiner", "pronoun"), "WDT": ("determiner", "pronoun"),
+    "IN": ("preposition", "conjunction"), "CC": ("conjunction",), "CD": ("number",), "UH": ("interjection",),
+    "EX": ("adverb", "pronoun"), "RP": ("adverb", "preposition"),
+}
+
+
 class Tagger(Protocol):
     """What a tagging model has to offer; it is called once per batch of texts."""
 
@@ -72,7 +89,7 @@ def positioned(df: DataFrame, key: list[str], column: str) -> DataFrame:
 def exemption(surface: Column) -> Column:
     """Class of a token that needs no vocabulary: numeric, symbol, possessive, contraction, in this order; else null."""
     return (
-        F.when(surface.rlike("^[0-9]"), "numeric")
+        F.when(surface.rlike("^[0-9]+([.,:][0-9]+)*\\z|(?i)^[0-9]+(st|nd|rd|th)\\z"), "numeric")
         .when(surface.rlike("^[^A-Za-z0-9]+$"), "symbol")
         .when(surface.rlike("(?i)^[a-z]+['’]s$"), "possessive")
         .when(surface.rlike("(?i)^[a-z]+['’](ll|re|ve|d|m|t)$"), "contraction")
@@ -85,6 +102,25 @@ def best_entries(entries: DataFrame) -> DataFrame:
     return e.groupBy("word").agg(F.min_by("id", F.struct("rank", "pos", "id")).alias("entry_id"), F.min("rank").alias("rank"), F.min_by("level", F.struct("rank", "pos", "id")).alias("level"), F.countDistinct("pos").alias("n_pos"))
 
 
+def fixed_lemma(surface: Column, lemma: Column) -> Column:
+    """The lemma to look up: of a contraction's fragment the fixed one, else the tagger's, else the surface."""
+    fixes = F.create_map(*(F.lit(x) for kv in LEMMA_FIXES.items() for x in kv))
+    return F.coalesce(fixes[F.lower(surface)], F.nullif(lemma, F.lit("")), surface)
+
+
+def vocabulary_pos(tag: Column, upos: Column, lemma: Column) -> Column:
+    """Parts of speech to try for a tagged token, in order: be, do and have first, then 'to' by its use, then by tag."""
+    by_tag = F.create_map(*(x for k, v in TAG_POS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    own = upos.isin("VERB", "AUX") & lemma.isin("be", "do", "have")
+    to = F.when(upos == "PART", F.array(F.lit("infinitive-to"))).when(upos == "ADP", F.array(F.lit("preposition"))).otherwise(F.array().cast("array<string>"))
+    return F.when(own, F.array(F.concat(lemma, F.lit("-verb")))).when(tag == "TO", to).otherwise(F.coalesce(by_tag[tag], F.array().cast("array<string>")))
+
+
+def tag_priorities(spark) -> DataFrame:
+    """tag, pos, prio for pos_choice."""
+    return spark.createDataFrame([(t, p, i) for t, ps in TAG_POS.items() for i, p in enumerate(ps)], "tag string, pos string, prio int")
+
+
 def pos_choice(tokens: DataFrame, entries: DataFrame, priority: DataFrame) -> DataFrame:
     """tokens (key.., word, tag) with entry_id and fallback: the entry whose part of speech comes first for the tag, else of the lowest level.
 
@@ -107,8 +143,8 @@ def decisions(tokens: DataFrame, entries: DataFrame, allowed: list[str], ceiling
     known = tokens.join(F.broadcast(e) if entries_bounded(entries) else e, "word", "left")
     decision = (
         F.when(F.col("rank") <= ceiling, "wordlist_match")
-        .when(F.col("surface").isin(*allowed) if allowed else F.lit(False), "allowlist")
         .when(F.col("rank").isNotNull(), "above_level")
+        .when(F.col("surface").isin(*allowed) if allowed else F.lit(False), "allowlist")
         .when(exemption(F.col("surface")).isNotNull(), "exempt")
         .otherwise("unknown")
     )

@@ -66,8 +66,8 @@ def pool_ranked(spark, d):
 
 
 @query("""
-with g as (select *, case when pos in ('noun','pronoun','number') then 0 when pos in ('verb','be-verb','do-verb','have-verb','modal auxiliary') then 1 when pos in ('adjective','determiner') then 2
-  when pos in ('adverb','interjection') then 3 when pos in ('preposition','conjunction','infinitive-to') then 4 end as grp from lexicon),
+with g as (select *, case when pos in ('noun','number') then 0 when pos in ('verb','be-verb','do-verb','have-verb','modal auxiliary') then 1 when pos in ('adjective','determiner') then 2
+  when pos = 'adverb' then 3 when pos in ('pronoun','preposition','conjunction','interjection','infinitive-to') then 4 end as grp from lexicon),
 s as (select t.id as target_id, e.id, 0 as relaxed, e.headword, e.pos from g t join g e on t.level = e.level and t.pos = e.pos and t.id <> e.id),
 few as (select * from g t where (select count(*) from s where s.target_id = t.id) < 20),
 w as (select t.id as target_id, e.id, 1 as relaxed, e.headword, e.pos from few t join g e on t.level = e.level and t.grp = e.grp and t.pos <> e.pos and t.id <> e.id),
@@ -400,7 +400,8 @@ def wrong_fills(spark, d):
 
 @query("""
 with q as (select rec_id, i - 1 as no, c from (select rec_id, unnest(body.choices) as c, unnest(range(1, len(body.choices) + 1)) as i from vocab_mcq_en2ja) where c.anchor is not null),
-j as (select q.*, l.id as e_id, l.headword as h, l.pos as p, l.level as v, case when l.pos in ('noun','pronoun','number') then 0 when l.pos in ('verb','be-verb','do-verb','have-verb','modal auxiliary') then 1 when l.pos in ('adjective','determiner') then 2 end as g from q left join lexicon l on l.id = q.c.anchor.entry_id),
+j as (select q.*, l.id as e_id, l.headword as h, l.pos as p, l.level as v, case when l.pos in ('noun','number') then 0 when l.pos in ('verb','be-verb','do-verb','have-verb','modal auxiliary') then 1 when l.pos in ('adjective','determiner') then 2
+  when l.pos = 'adverb' then 3 when l.pos in ('pronoun','preposition','conjunction','interjection','infinitive-to') then 4 end as g from q left join lexicon l on l.id = q.c.anchor.entry_id),
 r as (select rec_id, any_value(g) as tg, any_value(p) as tp from j where c.is_correct group by 1)
 select rec_id, 'choices/' || no as location, 'anchor_missing' as code, c.anchor.entry_id as evidence, null::varchar as expected, null::varchar as actual from j where e_id is null
 union all select rec_id, 'choices/' || no, 'anchor_differs', c.anchor.entry_id, null, null from j where e_id is not null and (c.anchor.headword is distinct from h or c.anchor.pos is distinct from p or c.anchor.level is distinct from v)
@@ -456,8 +457,8 @@ _DECISION_SQL = f"""
 with t as (select doc_id, unnest({_TOKEN_SQL}) as surface from documents where lower(trim(lang)) like 'en%' and text is not null),
 c as (select doc_id, surface, count(*) as n from t group by 1, 2),
 e as (select lower(headword) as word, min(list_position(['A1','A2','B1','B2'], level)) as rank from lexicon where not is_multiword group by 1),
-x as (select c.*, case when e.rank <= 2 then 'wordlist_match' when surface in ('T','X','DVD','IT','PC','ATM') then 'allowlist' when e.rank is not null then 'above_level'
-  when regexp_matches(surface, '^[0-9]') or regexp_matches(surface, '^[^A-Za-z0-9]+$') or regexp_matches(surface, '(?i)^[a-z]+[''’]s$') or regexp_matches(surface, '(?i)^[a-z]+[''’](ll|re|ve|d|m|t)$') then 'exempt' else 'unknown' end as decision
+x as (select c.*, case when e.rank <= 2 then 'wordlist_match' when e.rank is not null then 'above_level' when surface in ('T','X','DVD','IT','PC','ATM') then 'allowlist'
+  when regexp_matches(surface, '^[0-9]+([.,:][0-9]+)*$') or regexp_matches(surface, '(?i)^[0-9]+(st|nd|rd|th)$') or regexp_matches(surface, '^[^A-Za-z0-9]+$') or regexp_matches(surface, '(?i)^[a-z]+[''’]s$') or regexp_matches(surface, '(?i)^[a-z]+[''’](ll|re|ve|d|m|t)$') then 'exempt' else 'unknown' end as decision
   from c left join e on e.word = lower(c.surface))"""
 
 

@@ -121,14 +121,22 @@ def test_phrases_against_a_sequential_version(spark):
 def test_longest_phrase_and_decisions(spark, entries):
     texts = spark.createDataFrame([(1, "The Ice cream van sold ICE CREAM.")], "i int, t string")
     assert rows(tokens.phrases(texts, ["i"], "t", tokens.phrase_patterns(entries))) == [(1, 1, "lex:ice cream van:noun", 3), (1, 5, "lex:ice cream:noun", 2)]
-    t = tokens.positioned(spark.createDataFrame([(1, "Colour cream XYZ xyz 3rd Anna's can't !")], "i int, t string"), ["i"], "t")
+    t = tokens.positioned(spark.createDataFrame([(1, "Colour cream XYZ xyz 3rd Anna's can't ! 12:30 3rdx")], "i int, t string"), ["i"], "t")
     got = [r.decision for r in tokens.decisions(t, entries, ["XYZ"], F.lit(1)).orderBy("at").collect()]
-    assert got == ["wordlist_match", "above_level", "allowlist", "unknown", "exempt", "exempt", "exempt", "exempt"]
+    assert got == ["wordlist_match", "above_level", "allowlist", "unknown", "exempt", "exempt", "exempt", "exempt", "exempt", "exempt", "exempt", "exempt", "unknown"]
     prio = spark.createDataFrame([("VB", "verb", 0), ("VB", "noun", 1)], "tag string, pos string, prio int")
     w = spark.createDataFrame([("colour", "VB"), ("colour", "ZZ"), ("none", "VB")], "word string, tag string")
     assert rows(tokens.pos_choice(w, entries, prio)) == [("colour", "VB", "lex:colour:verb", False), ("colour", "ZZ", "lex:colour:noun", True), ("none", "VB", None, None)]
 
 
+def test_tags_and_lemmas(spark):
+    df = spark.createDataFrame([("ca", "ca", "MD", "AUX"), ("is", "be", "VBZ", "AUX"), ("to", "to", "TO", "PART"), ("to", "to", "TO", "X"), ("that", "", "IN", "SCONJ"), ("x", "x", "??", "X")], "s string, l string, t string, u string")
+    lemma = tokens.fixed_lemma(F.col("s"), F.col("l"))
+    got = [(r[0], r[1]) for r in df.coalesce(1).select(lemma, tokens.vocabulary_pos(F.col("t"), F.col("u"), lemma)).collect()]
+    assert got == [("can", ["modal auxiliary"]), ("be", ["be-verb"]), ("to", ["infinitive-to"]), ("to", []), ("that", ["preposition", "conjunction"]), ("x", [])]
+    assert tokens.tag_priorities(spark).where("tag = 'DT'").count() == 2
+
+
 def test_tagger_offsets(spark):
     df = spark.createDataFrame([(1, "Hi, you. 3 cats!"), (2, None), (3, "")], "i int, t string")
     got = {r.i: r.tokens for r in tokens.tag(df, "t").collect()}
@@ -154,9 +162,10 @@ def test_item_checks(spark):
 
 
 def test_audit_names_and_sequences(spark):
-    names = ["q01.gen1.candidate.json", "q01.gen4.candidate.json", "q20.gen3.review.invalid2.txt", "set_check.final.json", "set_check.q02.gen1.json", "slot.q03.outcome.json", "x.json"]
+    names = ["q01.gen1.candidate.json", "q01.gen4.candidate.json", "q20.gen3.review.invalid2.txt", "set_check.final.json", "set_check.q02.gen1.json", "slot.q03.outcome.json", "x.json", "q21.gen1.candidate.json", "q01.gen1.candidate.invalid3.txt"]
     got = {r.name: (r.kind, r.question_id, r.generation, r.part, r.n_invalid) for r in attempts.classified(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
     assert got["q01.gen1.candidate.json"] == ("part", "q01", "gen1", "candidate", None) and got["q01.gen4.candidate.json"][0] is None and got["x.json"][0] is None
+    assert got["q21.gen1.candidate.json"][0] is None and got["q01.gen1.candidate.invalid3.txt"][0] is None
     assert got["q20.gen3.review.invalid2.txt"] == ("invalid", "q20", "gen3", "review", 2) and got["set_check.final.json"][0] == got["set_check.q02.gen1.json"][0] == "set_check"
     assert got["slot.q03.outcome.json"] == ("outcome", "q03", None, None, None)
     bad = spark.createDataFrame([("q01.gen1.review.invalid2.txt",), ("q02.gen1.candidate.invalid1.txt",), ("q02.gen1.candidate.invalid2.txt",), ("q02.gen1.candidate.json",), ("q03.gen1.review.invalid1.txt",)], "name string")
