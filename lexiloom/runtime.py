@@ -73,15 +73,29 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _local_folder[0]
 
 
+_written: dict[str, list[str]] = {}
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete the tables that this application has materialised; returns their number. Results not yet read are lost with them."""
+    own = _written.pop(spark.sparkContext.applicationId, [])
+    jvm = spark._jvm
+    for where in own:
+        path = jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(own)
+
+
 def materialise(df: DataFrame, label: str, *, mode: str = "errorifexists") -> DataFrame:
     """Write ``df`` as a table of the shared folder and read it back.
 
     The lineage ends there, so neither a lost executor nor a second use computes it again. The table's
-    name is new each time; the folder belongs to the run and is dropped with it.
+    name is new each time; ``discard`` drops the run's tables once its results are read.
     """
     spark = df.sparkSession
     where = f"{shared_folder(spark)}/lexiloom/{label}-{uuid.uuid4().hex}"
     df.write.mode(mode).option("compression", "zstd").parquet(where)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(where)
     return spark.read.schema(df.schema).parquet(where)
 
 
