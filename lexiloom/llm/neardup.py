@@ -3,8 +3,8 @@
 Two sentences are linked if they share at least ``SHARE`` of the distinct words of the one with fewer. Sentences with
 the same word set form one class. Classes that look alike are partitioned into groups of at most ``GROUP``, each with its
 token union. A class a can only be linked with a larger b if b holds ``m`` of a's n - need + m rarest words, for any m; so
-the matrix stores for each group which word pairs (m = 2; single words where a has one word) its members hold, as far as some
-class looks for them. Looking a's rarest pairs up gives candidate groups; of these only such are opened whose token union
+the matrix stores for each group which sets of m words (m = 2, or 3 in large collections; fewer where a has fewer) its members hold, of words that some
+class looks for. Looking the sets of a's rarest words up gives candidate groups; of these only such are opened whose token union
 bounds the overlap at ``need`` or more, and the members are then compared word by word.
 
 Copies never multiply the search: it runs over classes, and only the caller who needs row pairs expands them.
@@ -15,6 +15,8 @@ words, case and apostrophes don't matter; an empty table gives empty results; on
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from ..runtime import materialise
 
 SHARE_NUM, SHARE_DEN = 7, 10
 GROUP = 8
+#: From so many classes on, three rare words are looked up together instead of two: more rows in the matrix, far fewer chance hits.
+MANY = 500_000
 
 
 def words(text: Column) -> Column:
@@ -39,16 +43,17 @@ def need(n: Column) -> Column:
 def classes(rows: DataFrame, by: str, row_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(members: by, row_id, cls; classes: by, cls, toks, probe): rows with the same word set share a class.
 
-    cls numbers the classes. toks are the words as 64-bit numbers that differ between values of by, the rarest first; n - need + 2
-    of them lead. probe are those words of toks that lead in some class. Both are tables of the shared folder.
+    cls numbers the classes. toks are the words as 64-bit numbers that differ between values of by, the rarest first; n - need + m
+    of them lead. probe are those words of toks that lead in some class, m how many are looked up together. Both are tables of
+    the shared folder.
     """
     rows = rows.select(F.col(by).alias("by"), F.col(row_id).alias("row_id"), F.array_sort(words(F.col(text))).alias("set")).where(F.size("set") > 0)
     for seed in range(9):
         # a class's number is a hash of its words, so rows needn't be brought together; two classes of one number ask for another seed
         named = rows.withColumn("tid", F.sha2(F.concat_ws(" ", "by", F.array_join("set", " ")), 256)).withColumn("cls", F.xxhash64(F.lit(seed), "tid"))
-        members = materialise(named.select("by", "row_id", "cls"), "members")
+        named = materialise(named, "members")
         sets = materialise(named.groupBy("by", "cls", "tid").agg(F.first("set").alias("set")), "sets")
-        if sets.count() == sets.agg(F.countDistinct("cls")).first()[0]:
+        if sets.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             break
     else:
         raise RuntimeError("class numbers collide")
@@ -57,21 +62,28 @@ def classes(rows: DataFrame, by: str, row_id: str, text: str) -> tuple[DataFrame
     df = one.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     counted = one.join(df, "word").groupBy("by", "cls").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("own"))
     toks = materialise(counted.select("by", "cls", F.transform("own", lambda x: x["word"]).alias("toks")), "words")
-    lead = toks.select(F.explode(_lead(F.col("toks"))).alias("word")).distinct()
+    m = 2 if toks.count() < MANY else 3
+    lead = toks.select(F.explode(_lead(F.col("toks"), m)).alias("word")).distinct()
     probe = toks.select("cls", F.explode("toks").alias("word")).join(lead, "word", "left_semi").groupBy("cls").agg(F.collect_list("word").alias("probe"))
-    return members, materialise(toks.join(probe, "cls"), "classes")
+    return named.select("by", "row_id", "cls"), materialise(toks.join(probe, "cls").withColumn("m", F.lit(m)), "classes")
 
 
-def _lead(toks: Column) -> Column:
-    """The rarest words of which a linked larger class holds two (one, where one word is enough for the link)."""
+def _lead(toks: Column, m: int) -> Column:
+    """The rarest words of which a linked larger class holds m (or as many as the link needs, where these are fewer)."""
     least = need(F.size(toks))
-    return F.slice(toks, 1, F.size(toks) - least + F.least(F.lit(2), least))
+    return F.slice(toks, 1, F.size(toks) - least + F.least(F.lit(m), least))
 
 
-def _pairs(toks: Column) -> Column:
-    """All pairs of a list, each as one number, whatever the order of the two."""
-    both = lambda x, y: F.xxhash64(F.least(x, y), F.greatest(x, y))
-    return F.flatten(F.transform(toks, lambda x, i: F.transform(F.slice(toks, i + 2, F.size(toks)), lambda y: both(x, y))))
+def _sets(toks: Column, m: int) -> Column:
+    """All sets of m words (1 to 3) of a list, each as one number, whatever their order."""
+    own = F.array_sort(toks)
+    after = lambda i: F.slice(own, i + 2, F.size(own))
+    if m == 1:
+        return F.transform(own, lambda x: F.xxhash64(x))
+    if m == 2:
+        return F.flatten(F.transform(own, lambda x, i: F.transform(after(i), lambda y: F.xxhash64(x, y))))
+    triples = lambda x, i: F.flatten(F.transform(after(i), lambda y, k: F.transform(F.slice(own, i + k + 3, F.size(own)), lambda z: F.xxhash64(x, y, z))))
+    return F.flatten(F.transform(own, triples))
 
 
 def groups(cls: DataFrame) -> DataFrame:
@@ -84,25 +96,32 @@ def groups(cls: DataFrame) -> DataFrame:
     return materialise(grouped.withColumn("union", F.array_distinct(F.flatten("own.toks"))), "groups")
 
 
+def _held(group: DataFrame, size: int) -> DataFrame:
+    """grp, key: the rows of the matrix for sets of one size."""
+    return group.select("grp", F.explode(F.array_distinct(F.flatten(F.transform("own", lambda c: _sets(c["probe"], size))))).alias("key"))
+
+
 def links(cls: DataFrame) -> DataFrame:
     """a, b: the linked pairs of different classes, a < b."""
     group = groups(cls.select("cls", "toks", "probe"))
-    # the matrix: which pairs of probe words (and which single ones, for classes that look for one) a group's classes hold
-    singly = cls.where(need(F.size("toks")) < 2).select(F.col("toks")[0].alias("key"), "cls")
-    held = F.array_distinct(F.flatten(F.transform("own", lambda m: _pairs(m["probe"]))))
-    matrix = group.select("grp", F.explode(held).alias("key"))
-    sought = cls.where(need(F.size("toks")) >= 2).select("cls", F.explode(_pairs(_lead(F.col("toks")))).alias("key"))
-    hits = sought.join(matrix, "key").select("cls", "grp")
-    lone = group.select("grp", F.explode("union").alias("key")).join(singly, "key").select("cls", "grp")
-    hits = hits.unionByName(lone).distinct()
+    # rows of the matrix: the word sets that a group's classes hold, of each size that some class looks for
+    first = cls.select("m").first()
+    most, least = first["m"] if first else 2, need(F.size("toks"))
+    hits = []
+    for size in range(1, most + 1):
+        sought = cls.where(least == size if size < most else least >= size).select("cls", F.explode(_sets(_lead(F.col("toks"), size), size)).alias("key"))
+        if size < most and sought.isEmpty():
+            continue
+        hits.append(sought.join(_held(group, size), "key").select("cls", "grp"))
+    hits = reduce(DataFrame.unionByName, hits).distinct()
 
     # bound each class's overlap with the group's union; open the groups that qualify
     n = F.size("toks")
     asking = hits.join(cls.select("cls", "toks"), "cls")
-    opened = asking.join(group.select("grp", "own", "union"), "grp").where(F.size(F.array_intersect("toks", "union")) >= need(n))
+    opened = asking.join(group.select("grp", "own", "union"), "grp").where(F.size(F.array_intersect("union", "toks")) >= need(n))
     member = opened.select("cls", "toks", F.explode("own").alias("m"))
     larger = (F.size("m.toks") > n) | ((F.size("m.toks") == n) & (F.col("m.cls") > F.col("cls")))
-    linked = member.where(larger).where(F.size(F.array_intersect("toks", "m.toks")) >= need(n))
+    linked = member.where(larger).where(F.size(F.array_intersect("m.toks", "toks")) >= need(n))
     return linked.select(F.least("cls", "m.cls").alias("a"), F.greatest("cls", "m.cls").alias("b"))
 
 

@@ -3,6 +3,8 @@
 import re
 from collections import defaultdict
 
+import pytest
+
 from lexiloom.llm import neardup as n
 from lexiloom.llm import neardup_queries as q
 
@@ -25,12 +27,16 @@ def found(spark, rows):
     return set(pairs)
 
 
-def test_tables(spark, folder):
+@pytest.mark.parametrize("many", [n.MANY, 1])
+def test_tables(spark, folder, many, monkeypatch):
+    monkeypatch.setattr(n, "MANY", many)
     rows = [tuple(r) for r in q.sentences(spark, folder).collect()]
     assert {tuple(r) for r in q.p3_found(spark, folder).collect()} == brute(rows)
 
 
-def test_small_sets_copies_and_odd_texts(spark):
+@pytest.mark.parametrize("many", [n.MANY, 1])
+def test_small_sets_copies_and_odd_texts(spark, many, monkeypatch):
+    monkeypatch.setattr(n, "MANY", many)
     texts = ["", None, "____ !", "a", "A", "a b", "b a", "a b c", "don't stop", "dont stop now", "K k", "c d e f g h i j k l", "c d e f g h i x y z", "c d e f g h x y z w", "a " * 50_000, " ".join(f"w{i}" for i in range(300)), " ".join(f"w{i}" for i in range(90, 390))]
     rows = [(f, i, t) for f in ("x", "y") for i, t in enumerate(texts)] + [("x", 100 + i, "same text here") for i in range(12)]
     assert found(spark, rows) == brute(rows)
