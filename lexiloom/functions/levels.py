@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col
+from .text import _col, strip
 
 # The scales in ascending order, and the highest fine level of each broad one.
 BROAD = ("A1", "A2", "B1", "B2")
 FINE = ("A1.1", "A1.2", "A1.3", "A2.1", "A2.2", "B1.1", "B1.2", "B2.1", "B2.2")
 CEILING = {"A1": "A1.3", "A2": "A2.2", "B1": "B1.2", "B2": "B2.2"}
+_FULL, _HALF = "ＡＢＣａｂｃ０１２３４５６７８９．", "ABCabc0123456789."
 
 
 def _position(scale: tuple[str, ...], level: Column | str) -> Column:
@@ -27,6 +28,11 @@ def fine_rank(level: Column | str) -> Column:
     return _position(FINE, level)
 
 
+def read(level: Column | str) -> Column:
+    """A level as it is meant: half-width, upper case, without format characters and outer white space."""
+    return F.upper(strip(F.translate(F.regexp_replace(_col(level), "\\p{Cf}", ""), _FULL, _HALF)))
+
+
 def band(level: Column | str) -> Column:
     """The broad level of a fine one."""
     return F.substring_index(_col(level), ".", 1)

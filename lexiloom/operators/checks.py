@@ -83,8 +83,11 @@ def wrong_fills(items: DataFrame, sentence: str, column: str, key: list[str] = K
 
 
 def anchors(items: DataFrame, column: str, entries: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """Violations of choices' anchors: not in the vocabulary, recorded values that differ from it, wrong choices of another level or part of speech."""
-    rows = items.select(*key, "__level", F.posexplode(column).alias("choice_no", "c")).where("c.anchor is not null")
+    """Violations of choices' anchors: not in the vocabulary, recorded values that differ from it, wrong choices of an incompatible part of speech.
+
+    What a question's level, target and relaxed flag ask of its anchors is in ``anchor_rules``.
+    """
+    rows = items.select(*key, F.posexplode(column).alias("choice_no", "c")).where("c.anchor is not null")
     e = entries.select(F.col("id").alias("e_id"), F.col("headword").alias("e_headword"), F.col("pos").alias("e_pos"), F.col("level").alias("e_level"))
     e = F.broadcast(e) if tokens.entries_bounded(e) else e
     joined = rows.join(e, F.col("c.anchor.entry_id") == F.col("e_id"), "left")
@@ -101,6 +104,45 @@ def anchors(items: DataFrame, column: str, entries: DataFrame, key: list[str] =
     return apply(both.withColumn("place", place), checks, [*key, "place"]).drop("location").withColumnRenamed("place", "location").select(*key, "code", "location", "evidence", "expected", "actual")
 
 
+def anchor_rules(items: DataFrame, column: str, level: str, ref: str, relaxed: str, entries: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """Violations of what a question asks of its choices' anchors, by the values they record.
+
+    distractor_level, distractor_pos: a wrong choice has the question's level and the target's part of speech, or a compatible one where the
+    pool is relaxed. relaxed_unused: a relaxed pool has a wrong choice of another part of speech. anchor_repeated, correct_not_target,
+    wrong_is_target: anchors are distinct, and the one correct choice's alone is the target. Choices without an anchor, and a question's
+    missing level, target or choices, break nothing here; a question without a correct choice does.
+    """
+    e = entries.select(F.col("id").alias("e_id"), F.col("pos").alias("e_pos"))
+    e = F.broadcast(e) if tokens.entries_bounded(e) else e
+    t_pos = F.coalesce("e_pos", text.pos_of("__ref")).alias("t_pos")
+    rows = items.select(*key, F.col(column).alias("__own"), levels.band(levels.read(level)).alias("__level"), F.col(ref).alias("__ref"), F.coalesce(relaxed, F.lit(False)).alias("__relaxed"))
+    rows = rows.join(e, F.col("__ref") == F.col("e_id"), "left").select(*key, "__own", "__level", "__ref", "__relaxed", t_pos)
+    is_right = lambda c: F.coalesce(c["is_correct"], F.lit(False))
+
+    wrong = rows.select(*key, "__level", "__relaxed", "t_pos", F.posexplode("__own").alias("choice_no", "c")).where(F.col("c.anchor").isNotNull() & ~is_right(F.col("c")))
+    own_pos = F.col("c.anchor.pos")
+    fits = F.when(F.col("__relaxed"), F.coalesce(lookup.compatible_group(own_pos) == lookup.compatible_group("t_pos"), F.lit(False))).otherwise(own_pos.eqNullSafe(F.col("t_pos")))
+    each = apply(wrong.withColumn("place", F.concat(F.lit("choices/"), F.col("choice_no").cast("string"))), [
+        violation("distractor_level", "anchor", F.col("__level").isNotNull() & ~F.col("c.anchor.level").eqNullSafe(F.col("__level")), evidence=F.col("c.anchor.entry_id"), expected=F.col("__level"), actual=F.col("c.anchor.level")),
+        violation("distractor_pos", "anchor", F.col("t_pos").isNotNull() & ~fits, evidence=F.col("c.anchor.entry_id"), expected=F.col("t_pos"), actual=own_pos),
+    ], [*key, "place"]).drop("location").withColumnRenamed("place", "location").select(*key, "code", "location", "evidence", "expected", "actual")
+
+    used = wrong.where("__relaxed and c.anchor.pos <> t_pos").join(e, (F.col("c.anchor.entry_id") == F.col("e_id")) & (own_pos == F.col("e_pos"))).select(*key).distinct()
+    relaxed_rows = rows.where(F.col("__relaxed") & F.col("__own").isNotNull() & F.col("t_pos").isNotNull())
+    unused = apply(relaxed_rows.join(used, key, "left_anti"), [violation("relaxed_unused", "pos_pool_relaxed", F.lit(True))], key)
+
+    there = F.filter("__own", lambda c: c.isNotNull())
+    ids = lambda cs: F.transform(cs, lambda c: c["anchor"]["entry_id"])
+    known = F.filter(ids(there), lambda i: i.isNotNull())
+    right, others = ids(F.filter(there, is_right)), ids(F.filter(there, lambda c: ~is_right(c)))
+    whole = apply(rows.where("__own is not null"), [
+        violation("anchor_repeated", "choices", F.size(F.array_distinct(known)) != F.size(known), evidence=F.array_join(known, ",")),
+        violation("correct_not_target", "choices", F.col("__ref").isNotNull() & ((F.size(right) != 1) | ~F.get(right, F.lit(0)).eqNullSafe(F.col("__ref"))), evidence=F.array_join(right, ","), expected=F.col("__ref")),
+        violation("wrong_is_target", "choices", F.array_contains(others, F.col("__ref")), evidence=F.col("__ref")),
+    ], key)
+    return each.unionByName(unused).unionByName(whole)
+
+
 def targets(items: DataFrame, ref: str, table: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Violations of target references that the table (column id) doesn't have."""
     t = table.select(F.col("id").alias("__id"))

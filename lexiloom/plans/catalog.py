@@ -407,10 +407,16 @@ select rec_id, 'choices/' || no as location, 'anchor_missing' as code, c.anchor.
 union all select rec_id, 'choices/' || no, 'anchor_differs', c.anchor.entry_id, null, null from j where e_id is not null and (c.anchor.headword is distinct from h or c.anchor.pos is distinct from p or c.anchor.level is distinct from v)
 union all select j.rec_id, 'choices/' || no, 'distractor_pos', null, tp, p from j join r on r.rec_id = j.rec_id where e_id is not null and not c.is_correct and p <> tp and not coalesce(g = tg, false)""")
 def anchor_compare(spark, d):
-    q = table(spark, d, "vocab_mcq_en2ja").select("rec_id", F.col("level.value").alias("__level"), F.col("body.choices").alias("choices"))
+    q = table(spark, d, "vocab_mcq_en2ja").select("rec_id", F.col("body.choices").alias("choices"))
     return checks.anchors(q, "choices", table(spark, d, "lexicon"))
 
 
+@query()
+def anchor_rules(spark, d):
+    """Level, part of speech, relaxed flag and identity of choices' anchors, which anchor_compare's SQL leaves out; tested on hand-made rows."""
+    return checks.anchor_rules(table(spark, d, "vocab_mcq_en2ja"), "body.choices", "level.value", "target.ref", "body.pos_pool_relaxed", table(spark, d, "lexicon"))
+
+
 @query("""
 select rec_id, 'target_missing' as code, 'target/ref' as location, target.ref as evidence, null::varchar as expected, null::varchar as actual from vocab_mcq_en2ja where target.ref is not null and target.ref not in (select id from lexicon)""")
 def target_exists(spark, d):

@@ -217,3 +217,32 @@ def test_contract(spark):
     assert contract.violations(df, "k", "j", rule, first=1).count() == 2
     keys = [tuple(r.s) for r in df.select(contract.key_sets("j", ["f", "q"]).alias("s")).where("s.missing is not null").collect()]
     assert keys[0] == (["q"], ["n"])
+
+
+ANCHORED = "rec_id int, level string, ref string, relaxed boolean, choices array<struct<is_correct:boolean,anchor:struct<entry_id:string,pos:string,level:string>>>"
+
+
+def test_anchor_rules(spark, entries):
+    right = (True, ("lex:colour:noun", "noun", "A1"))
+    color, verb, cream = (False, ("lex:color:noun", "noun", "A1")), (False, ("lex:colour:verb", "verb", "B1")), (False, ("lex:cream:noun", "noun", "A2"))
+    number, modal = (False, ("lex:x:number", "number", "A1")), (False, ("lex:y:modal-auxiliary", "modal auxiliary", "B1"))
+    one = [("lex:x:number", "x", "number", "A1", None, None, None, False, [])]
+    items = spark.createDataFrame([
+        (1, " \uff41\u200b1", "lex:colour:noun", False, [right, color, None, (False, None)]),
+        (2, "A1", "lex:colour:noun", False, [right, cream, number]),
+        (3, "A1", "lex:colour:noun", True, [right, number]),
+        (4, "A1", "lex:colour:noun", True, [right, color]),
+        (5, "A1", "lex:colour:noun", False, [(True, ("lex:color:noun", "noun", "A1")), (False, right[1]), color]),
+        (6, "B1", "lex:no:modal-auxiliary", False, [modal, verb]),
+        (7, None, None, None, [right, cream]),
+        (8, "A1", "lex:colour:noun", True, None),
+        (9, "A1", "lex:colour:noun", None, []),
+        (10, "A1", "lex:colour:noun", True, [right, verb, (False, ("lex:none:number", "number", "A1"))]),
+    ], ANCHORED)
+    got = checks.anchor_rules(items, "choices", "level", "ref", "relaxed", entries.unionByName(spark.createDataFrame(one, SCHEMA)))
+    assert sorted((r.rec_id, r.code, r.location) for r in got.collect()) == [
+        (2, "distractor_level", "choices/1"), (2, "distractor_pos", "choices/2"), (4, "relaxed_unused", "pos_pool_relaxed"),
+        (5, "anchor_repeated", "choices"), (5, "correct_not_target", "choices"), (5, "wrong_is_target", "choices"),
+        (6, "correct_not_target", "choices"), (6, "distractor_pos", "choices/1"), (9, "correct_not_target", "choices"),
+        (10, "distractor_level", "choices/1"), (10, "distractor_pos", "choices/1"),
+    ]
