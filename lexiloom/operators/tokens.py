@@ -34,6 +34,10 @@ TAG_POS = {
 }
 
 
+#: Places where a phrase can begin are told by a list of first words up to this many; beyond it every place is tried.
+MAX_BEGINS = 10_000
+
+
 class Tagger(Protocol):
     """What a tagging model has to offer; it is called once per batch of texts."""
 
@@ -156,31 +160,82 @@ def entries_bounded(entries: DataFrame, most: int = 200_000) -> bool:
     return entries.limit(most + 1).count() <= most
 
 
-def phrase_patterns(entries: DataFrame) -> DataFrame:
-    """phrase_id, phrase, size: headwords of several words, by their lower-cased words."""
-    words = F.filter(F.split(F.lower("headword"), "[ -]+"), lambda w: w != "")
-    return entries.where("is_multiword").select(F.col("id").alias("phrase_id"), F.concat_ws(" ", words).alias("phrase"), F.size(words).alias("size"))
+def phrase_patterns(entries: DataFrame, tagger: Tagger | None = None, *, single: bool = False) -> DataFrame:
+    """phrase_id, phrase, size: headwords of several words (single: all), by their lower-cased tokens.
+
+    They are cut by the tokenizer of the texts, so a hyphen is a token of its own in both.
+    """
+    e = entries if single else entries.where("is_multiword")
+    e = e.select("id", "headword")
+    words = surfaces("headword") if tagger is None else F.col("tokens.surface")
+    e = e if tagger is None else tag(e, "headword", tagger)
+    return e.select(F.col("id").alias("phrase_id"), F.concat_ws(" ", F.transform(words, F.lower)).alias("phrase"), F.size(words).alias("size"))
+
+
+#: Which pattern is taken among those of the same length at the same place.
+_KINDS = ("wordlist_match", "target", "multiword_match")
 
 
-def phrases(texts: DataFrame, key: list[str], column: str, patterns: DataFrame) -> DataFrame:
-    """key, start, phrase_id, size: greedy matches, left to right, the longest at each place (ties by id), none overlapping.
+def phrase_spans(
+    texts: DataFrame, key: list[str], column: str, patterns: DataFrame, *, tagger: Tagger | None = None, target: str | None = None, declared: str | None = None, own: DataFrame | None = None
+) -> DataFrame:
+    """key, start, phrase_id, size, kind, written: greedy matches, left to right, the longest at each place (ties by id), none overlapping.
 
-    N-grams are made only of the lengths that occur among the patterns; what is consumed is decided per text by a fold over its hits.
+    A pattern matches the surfaces or the lemmas, which a tagger gives; without one they are the surfaces. target and declared name columns
+    with entry ids, whose patterns (of any size) are in ``own``: a text's target matches like a phrase, also by corrected lemmas, and wins
+    ties; its declared anchor matches where it is the whole text, and wins over both. kind is multiword_match, target or wordlist_match.
+    N-grams are made only of the lengths that occur among the patterns and of places where one can begin; what is consumed is decided
+    per text by a fold over its hits.
     """
     sizes = sorted(r[0] for r in patterns.select("size").distinct().collect())
-    words = F.transform(surfaces(column), lambda s: F.lower(s))
-    grams = F.flatten(F.array(*(
-        F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(i.alias("start"), F.array_join(F.slice(F.col("w"), i + 1, n), " ").alias("phrase"))))
-        .otherwise(F.array().cast("array<struct<start:int,phrase:string>>"))
-        for n in sizes
-    ))) if sizes else F.array().cast("array<struct<start:int,phrase:string>>")
-    best = patterns.groupBy("phrase", "size").agg(F.min("phrase_id").alias("phrase_id"))
-    one = texts.select(*key, words.alias("w")).select(*key, F.inline(grams))
-    hits = one.join(F.broadcast(best) if entries_bounded(best) else best, "phrase")
-    per = hits.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("size")).alias("minus"), "phrase_id"))).alias("hits"))
-    empty = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,minus:int,phrase_id:string>>").alias("own"))
+    begins = [r[0] for r in patterns.select(F.substring_index("phrase", " ", 1)).distinct().limit(MAX_BEGINS + 1).collect()]
+    ids = [c for c in (target, declared) if c]
+    if tagger is None:
+        base = texts.select(*key, *ids, surfaces(column).alias("s"))
+        lemmas, fixed = None, F.transform("s", lambda x: F.lower(fixed_lemma(x, F.lit(None).cast("string"))))
+    else:
+        base = tag(texts.select(*key, *ids, column), column, tagger).withColumn("s", F.col("tokens.surface"))
+        lemmas = F.transform("tokens", lambda t: F.lower(F.coalesce(F.nullif(t["lemma"], F.lit("")), t["surface"])))
+        fixed = F.transform("tokens", lambda t: F.lower(fixed_lemma(t["surface"], t["lemma"])))
+    base = base.withColumn("w", F.transform("s", F.lower))
+    written = lambda i, n: F.array_join(F.slice("s", i + 1, n), " ").alias("written")
+
+    def places(words: Column, n: int) -> Column:
+        at = F.sequence(F.lit(0), F.size("s") - n)
+        return F.filter(at, lambda i: F.get(words, i).isin(*begins)) if len(begins) <= MAX_BEGINS else at
+
+    def grams(words: Column, n: int) -> Column:
+        own = F.transform(places(words, n), lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice(words, i + 1, n), " ").alias("phrase"), written(i, n)))
+        return F.when(F.size("s") >= n, own).otherwise(F.array().cast("array<struct<start:int,n:int,phrase:string,written:string>>"))
+
+    sequences = [F.col("w")] + ([F.col("l")] if lemmas is not None else [])
+    base = base.withColumn("l", lemmas) if lemmas is not None else base
+    every = F.flatten(F.array(*(grams(q, n) for q in sequences for n in sizes))) if sizes else F.array().cast("array<struct<start:int,n:int,phrase:string,written:string>>")
+    best = patterns.groupBy("phrase", F.col("size").alias("n")).agg(F.min("phrase_id").alias("phrase_id"))
+    hits = base.select(*key, F.inline(every)).join(F.broadcast(best) if entries_bounded(best) else best, ["phrase", "n"])
+    hits = hits.select(*key, "start", (-F.col("n")).alias("minus"), F.lit(2).alias("kind"), "phrase_id", "written")
+    if ids:
+        o = own.select(F.col("phrase_id").alias("__id"), F.split("phrase", " ").alias("p"), F.col("size").alias("n"))
+        o = F.broadcast(o) if entries_bounded(o) else o
+    if target:
+        t = base.join(o, F.col(target) == F.col("__id")).where(F.size("s") >= F.col("n")).withColumn("f", fixed)
+        at = F.filter(F.sequence(F.lit(0), F.size("s") - F.col("n")), lambda i: (F.slice("w", i + 1, F.col("n")) == F.col("p")) | (F.slice("f", i + 1, F.col("n")) == F.col("p")))
+        found = t.select(*key, F.inline(F.transform(at, lambda i: F.struct(i.alias("start"), (-F.col("n")).alias("minus"), F.lit(1).alias("kind"), F.col("__id").alias("phrase_id"), written(i, F.col("n"))))))
+        hits = hits.unionByName(found)
+    if declared:
+        whole = base.join(o, F.col(declared) == F.col("__id")).where("w = p and n > 0")
+        hits = hits.unionByName(whole.select(*key, F.lit(0).alias("start"), (-F.col("n")).alias("minus"), F.lit(0).alias("kind"), F.col("__id").alias("phrase_id"), F.array_join("s", " ").alias("written")))
+
+    per = hits.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "minus", "kind", "phrase_id", "written"))).alias("hits"))
+    empty = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,minus:int,kind:int,phrase_id:string,written:string>>").alias("own"))
     kept = F.aggregate("hits", empty, lambda acc, h: F.when(h["start"] >= acc["end"], F.struct((h["start"] - h["minus"]).alias("end"), F.concat(acc["own"], F.array(h)).alias("own"))).otherwise(acc), lambda acc: acc["own"])
-    return per.select(*key, F.explode(kept).alias("m")).select(*key, F.col("m.start").alias("start"), F.col("m.phrase_id").alias("phrase_id"), (-F.col("m.minus")).alias("size"))
+    m = per.select(*key, F.explode(kept).alias("m"))
+    return m.select(*key, "m.start", "m.phrase_id", (-F.col("m.minus")).alias("size"), F.get(F.array(*map(F.lit, _KINDS)), "m.kind").alias("kind"), "m.written")
+
+
+def phrases(texts: DataFrame, key: list[str], column: str, patterns: DataFrame, tagger: Tagger | None = None) -> DataFrame:
+    """key, start, phrase_id, size of the vocabulary's phrases in the texts, by ``phrase_spans``."""
+    return phrase_spans(texts, key, column, patterns, tagger=tagger).select(*key, "start", "phrase_id", "size")
 
 
 def verdicts(texts: DataFrame, key: list[str], problems: DataFrame) -> DataFrame:

@@ -246,3 +246,29 @@ def test_anchor_rules(spark, entries):
         (6, "correct_not_target", "choices"), (6, "distractor_pos", "choices/1"), (9, "correct_not_target", "choices"),
         (10, "distractor_level", "choices/1"), (10, "distractor_pos", "choices/1"),
     ]
+
+
+def test_hyphenated_and_inflected_phrases(spark, entries):
+    more = [("lex:T-shirt:noun", "T-shirt", "noun", "A1", None, None, None, True, []), ("lex:look after:verb", "look after", "verb", "A2", None, None, None, True, [])]
+    e = entries.unionByName(spark.createDataFrame(more, SCHEMA))
+    texts = spark.createDataFrame([(1, "A t-shirt, T-Shirts; ice-cream"), (2, "She looked after ice creams.")], "i int, t string")
+    assert rows(tokens.phrases(texts, ["i"], "t", tokens.phrase_patterns(e))) == [(1, 1, "lex:T-shirt:noun", 3)]
+
+    def tagger(batch):
+        for out in tokens.plain_tagger(batch):
+            yield [(s, {"looked": "look", "creams": "cream", "shirts": "shirt"}.get(low, low), *rest) for s, low, *rest in out]
+
+    assert rows(tokens.phrases(texts, ["i"], "t", tokens.phrase_patterns(e, tagger), tagger)) == [(1, 1, "lex:T-shirt:noun", 3), (1, 5, "lex:T-shirt:noun", 3), (2, 1, "lex:look after:verb", 2), (2, 3, "lex:ice cream:noun", 2)]
+
+
+def test_targets_and_declared_anchors_among_phrases(spark, entries):
+    own = tokens.phrase_patterns(entries, single=True)
+    texts = spark.createDataFrame([
+        (1, "Colour of ice cream van", "lex:ice cream:noun", None), (2, "ice cream, cream", "lex:cream:noun", None),
+        (3, "ice cream", "lex:ice cream:noun", None), (4, "Ice Cream", None, "lex:ice cream:noun"), (5, "a colour", None, "lex:colour:noun"), (6, "colour", "lex:colour:noun", "lex:colour:noun"),
+    ], "i int, t string, target string, declared string")
+    got = tokens.phrase_spans(texts, ["i"], "t", tokens.phrase_patterns(entries), target="target", declared="declared", own=own)
+    assert rows(got) == [
+        (1, 2, "lex:ice cream van:noun", 3, "multiword_match", "ice cream van"), (2, 0, "lex:ice cream:noun", 2, "multiword_match", "ice cream"), (2, 3, "lex:cream:noun", 1, "target", "cream"),
+        (3, 0, "lex:ice cream:noun", 2, "target", "ice cream"), (4, 0, "lex:ice cream:noun", 2, "wordlist_match", "Ice Cream"), (6, 0, "lex:colour:noun", 1, "wordlist_match", "colour"),
+    ]
