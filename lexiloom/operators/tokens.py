@@ -238,6 +238,29 @@ def phrases(texts: DataFrame, key: list[str], column: str, patterns: DataFrame,
     return phrase_spans(texts, key, column, patterns, tagger=tagger).select(*key, "start", "phrase_id", "size")
 
 
+def counted(texts: DataFrame, key: list[str], column: str, patterns: DataFrame) -> DataFrame:
+    """key, surface, phrase_id, size, n: how often each phrase (its tokens joined by spaces) stands in a text, and each surface outside all phrases.
+
+    What phrases consume is taken off the surfaces' counts, so texts are never shuffled; phrase_id is null and size 1 for single tokens.
+    """
+    none = F.lit(None).cast("string")
+    every = texts.select(*key, F.explode(surfaces(column)).alias("surface")).select(*key, "surface", none.alias("phrase_id"), F.lit(1).alias("size"), F.lit(1).alias("n"))
+    consumed = F.transform(F.split("written", " "), lambda x: F.struct(x.alias("surface"), none.alias("phrase_id"), F.lit(1).alias("size"), F.lit(-1).alias("n")))
+    phrase = F.array(F.struct(F.col("written").alias("surface"), "phrase_id", "size", F.lit(1).alias("n")))
+    spans = phrase_spans(texts, key, column, patterns).select(*key, F.inline(F.concat(consumed, phrase)))
+    return every.unionByName(spans).groupBy(*key, "surface", "phrase_id", "size").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def phrase_decisions(rows: DataFrame, entries: DataFrame, allowed: list[str], ceiling: Column) -> DataFrame:
+    """rows of ``counted`` with entry_id, level, decision: phrases by their entry's level (multiword_match or above_level), the rest by ``decisions``."""
+    single = decisions(rows.withColumn("word", F.when(F.col("phrase_id").isNull(), F.lower("surface"))), entries, allowed, ceiling)
+    p = entries.select(F.col("id").alias("phrase_id"), F.col("level").alias("p_level"), levels.broad_rank("level").alias("p_rank"))
+    both = single.join(F.broadcast(p) if entries_bounded(p) else p, "phrase_id", "left")
+    own = F.col("phrase_id").isNotNull()
+    decision = F.when(own & (F.col("p_rank") <= ceiling), "multiword_match").when(own, "above_level").otherwise(F.col("decision"))
+    return both.select(*rows.columns, F.coalesce("phrase_id", "entry_id").alias("entry_id"), F.when(own, F.col("p_level")).otherwise(F.col("level")).alias("level"), decision.alias("decision"))
+
+
 def verdicts(texts: DataFrame, key: list[str], problems: DataFrame) -> DataFrame:
     """key, n_problems, verdict of every text: it fails with one problem or more."""
     n = problems.groupBy(*key).agg(F.count(F.lit(1)).alias("n_problems"))

@@ -495,6 +495,29 @@ def verdict(spark, d):
     return tokens.verdicts(_english(spark, d), ["doc_id"], problems)
 
 
+def _decided_whole(spark, d):
+    entries = table(spark, d, "lexicon")
+    return tokens.phrase_decisions(tokens.counted(_english(spark, d), ["doc_id"], "text", tokens.phrase_patterns(entries)), entries, ALLOWED, F.lit(2))
+
+
+@query()
+def phrase_token_decision(spark, d):
+    """token_decision with phrases first, which its SQL leaves out; tested against a sequential version."""
+    return _decided_whole(spark, d).groupBy("doc_id", "decision").agg(F.sum(F.col("n") * F.col("size")).alias("n_tokens"))
+
+
+@query()
+def phrase_lexical_violations(spark, d):
+    """lexical_violations with phrases first, which its SQL leaves out; a phrase above the level is one violation."""
+    return _decided_whole(spark, d).where(F.col("decision").isin("above_level", "unknown")).select("doc_id", "surface", "decision", "n")
+
+
+@query()
+def phrase_verdict(spark, d):
+    """verdict with phrases first, which its SQL leaves out."""
+    return tokens.verdicts(_english(spark, d), ["doc_id"], _decided_whole(spark, d).where(F.col("decision").isin("above_level", "unknown")))
+
+
 @query("""
 with t as (select rec_id, unnest(string_split(lower(body.target_surface), ' ')) as word, lower(body.pos) as tag from vocab_flashcard_en2ja where body.target_surface is not null and body.pos is not null),
 d as (select distinct * from t),

@@ -272,3 +272,16 @@ def test_targets_and_declared_anchors_among_phrases(spark, entries):
         (1, 2, "lex:ice cream van:noun", 3, "multiword_match", "ice cream van"), (2, 0, "lex:ice cream:noun", 2, "multiword_match", "ice cream"), (2, 3, "lex:cream:noun", 1, "target", "cream"),
         (3, 0, "lex:ice cream:noun", 2, "target", "ice cream"), (4, 0, "lex:ice cream:noun", 2, "wordlist_match", "Ice Cream"), (6, 0, "lex:colour:noun", 1, "wordlist_match", "colour"),
     ]
+
+
+def test_phrases_are_decided_before_single_words(spark, entries):
+    more = [("lex:upstairs room:noun", "upstairs room", "noun", "A2", None, None, None, True, []), ("lex:T-shirt:noun", "T-shirt", "noun", "A1", None, None, None, True, [])]
+    e = entries.unionByName(spark.createDataFrame(more, SCHEMA))
+    texts = spark.createDataFrame([(1, "Upstairs room, upstairs room: a T-shirt, an ice cream van and cream"), (2, "upstairs"), (3, "T-shirt cream T-shirt"), (4, "")], "i int, t string")
+    got = tokens.phrase_decisions(tokens.counted(texts, ["i"], "t", tokens.phrase_patterns(e)), e, ["a", "an", "and"], F.lit(2))
+    assert rows(got.where("decision <> 'exempt'").select("i", "surface", "size", "n", "decision")) == sorted([
+        (1, "Upstairs room", 2, 1, "multiword_match"), (1, "upstairs room", 2, 1, "multiword_match"), (1, "T - shirt", 3, 1, "multiword_match"), (1, "ice cream van", 3, 1, "above_level"),
+        (1, "cream", 1, 1, "wordlist_match"), (1, "a", 1, 1, "allowlist"), (1, "an", 1, 1, "allowlist"), (1, "and", 1, 1, "allowlist"),
+        (2, "upstairs", 1, 1, "unknown"), (3, "T - shirt", 3, 2, "multiword_match"), (3, "cream", 1, 1, "wordlist_match"),
+    ], key=str)
+    assert rows(tokens.verdicts(texts, ["i"], got.where("decision in ('above_level', 'unknown')"))) == [(1, 1, "fail"), (2, 1, "fail"), (3, 0, "pass"), (4, 0, "pass")]
