@@ -143,11 +143,22 @@ def anchor_rules(items: DataFrame, column: str, level: str, ref: str, relaxed: s
     return each.unionByName(unused).unionByName(whole)
 
 
-def targets(items: DataFrame, ref: str, table: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """Violations of target references that the table (column id) doesn't have."""
-    t = table.select(F.col("id").alias("__id"))
-    missing = items.where(F.col(ref).isNotNull()).join(t, F.col(ref) == F.col("__id"), "left_anti")
-    return apply(missing, [violation("target_missing", "target/ref", F.lit(True), evidence=F.col(ref))], key)
+def targets(items: DataFrame, ref: str, table: DataFrame, key: list[str] = KEY, *, level: str | None = None) -> DataFrame:
+    """Violations of target references that the table (column id) doesn't have; with level, also of those whose entry has another level than the item.
+
+    An item's level counts by its band as it is meant; where it is missing, nothing is known to differ.
+    """
+    none = F.lit(None).cast("string")
+    t = table.select(F.col("id").alias("__id"), (F.col("level") if level else none).alias("__actual"))
+    t = F.broadcast(t) if tokens.entries_bounded(t) else t
+    asked = levels.band(levels.read(level)) if level else none
+    joined = items.where(F.col(ref).isNotNull()).withColumn("__asked", asked).join(t, F.col(ref) == F.col("__id"), "left")
+    there = F.col("__id").isNotNull()
+    checks = [violation("target_missing", "target/ref", ~there, evidence=F.col(ref))]
+    if level:
+        differs = there & F.col("__asked").isNotNull() & ~F.col("__actual").eqNullSafe(F.col("__asked"))
+        checks.append(violation("target_level", "target/ref", differs, evidence=F.col(ref), expected=F.col("__asked"), actual=F.col("__actual")))
+    return apply(joined, checks, key)
 
 
 def out_of_range(items: DataFrame, ref: str, level: str, grammar: DataFrame, key: list[str] = KEY) -> DataFrame:

@@ -423,6 +423,12 @@ def target_exists(spark, d):
     return checks.targets(table(spark, d, "vocab_mcq_en2ja"), "target.ref", table(spark, d, "lexicon"))
 
 
+@query()
+def target_level(spark, d):
+    """target_exists with the level that its SQL leaves out: the entry's must be the question's; tested on hand-made rows."""
+    return checks.targets(table(spark, d, "vocab_mcq_en2ja"), "target.ref", table(spark, d, "lexicon"), level="level.value")
+
+
 @query(f"""
 select q.rec_id, 'target_range' as code, 'target/ref' as location, q.target.ref as evidence, g.level.min || '-' || g.level.max as expected, q.level.value as actual
 from grammar_rewrite q join grammar g on g.id = q.target.ref where not (g.target_eligible and coalesce({_RANK.format('q.level.value')} between {_RANK.format('g.level.min')} and {_RANK.format('g.level.max')}, false))""")

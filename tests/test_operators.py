@@ -285,3 +285,11 @@ def test_phrases_are_decided_before_single_words(spark, entries):
         (2, "upstairs", 1, 1, "unknown"), (3, "T - shirt", 3, 2, "multiword_match"), (3, "cream", 1, 1, "wordlist_match"),
     ], key=str)
     assert rows(tokens.verdicts(texts, ["i"], got.where("decision in ('above_level', 'unknown')"))) == [(1, 1, "fail"), (2, 1, "fail"), (3, 0, "pass"), (4, 0, "pass")]
+
+
+def test_target_levels(spark, entries):
+    data = [(1, "a1", "lex:colour:noun"), (2, "B1", "lex:colour:noun"), (3, "A1", "lex:none:noun"), (4, None, "lex:colour:noun"), (5, "A1", None), (6, "A2.1", "lex:cream:noun")]
+    items = spark.createDataFrame(data, "rec_id int, level string, ref string")
+    got = [(r.rec_id, r.code, r.expected, r.actual) for r in checks.targets(items, "ref", entries, level="level").collect()]
+    assert sorted(got) == [(2, "target_level", "B1", "A1"), (3, "target_missing", None, None)]
+    assert rows(checks.targets(items, "ref", entries).select("rec_id", "code")) == [(3, "target_missing")]
