@@ -27,10 +27,20 @@ def _prepared(spark: SparkSession, folder: str) -> tuple[DataFrame, list[mixture
     return signed, targets, others, (sum(t.available for t in targets) + others) // 5
 
 
+def _drawn(spark: SparkSession, folder: str) -> list[tuple]:
+    """Each target's category with what the pool has, what was aimed at, what was drawn, and what the pool lacks, of one run of allocation and draw."""
+    signed, targets, others, size = _prepared(spark, folder)
+    take, aim = mixture.allocate(targets, others, size, SEED), mixture.apportion(targets, size)
+    sample = mixture.draw(signed, take, F.struct(*records.KEY), SEED)
+    n = {r["sig"]: r["n"] for r in sample.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if [n.get(i, 0) for i in range(len(take))] != take:
+        raise ValueError("the rows drawn aren't the rows allocated")
+    return [(*t.category, t.available, a, n.get(i, 0), max(0, t.wanted(size) - t.available)) for i, (t, a) in enumerate(zip(targets, aim))]
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Categories of which the pool has fewer records than the sample needs."""
-    _, targets, _, size = _prepared(spark, folder)
-    return spark.createDataFrame([t.category for t in targets if t.available < t.wanted(size)], "format string, level_value string")
+    """Categories of which the pool has fewer records than the sample needs, by the run that deals the sample."""
+    return spark.createDataFrame([r[:2] for r in _drawn(spark, folder) if r[5] > 0], "format string, level_value string")
 
 
 def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,10 +51,7 @@ def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     """Each target with what the pool has, what was aimed at, what was drawn and what the pool lacks."""
-    _, targets, others, size = _prepared(spark, folder)
-    take, aim = mixture.allocate(targets, others, size, SEED), mixture.apportion(targets, size)
-    rows = [(*t.category, t.available, a, n, max(0, t.wanted(size) - t.available)) for t, a, n in zip(targets, aim, take)]
-    return spark.createDataFrame(rows, "format string, level_value string, n_pool long, n_aim long, n_drawn long, n_short long")
+    return spark.createDataFrame(_drawn(spark, folder), "format string, level_value string, n_pool long, n_aim long, n_drawn long, n_short long")
 
 
 def queries() -> dict:

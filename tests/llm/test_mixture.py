@@ -75,3 +75,15 @@ def test_bad_targets(spark):
     twice = spark.createDataFrame([("a", "b", 1, 1), ("a", "b", 2, 1)], "format string, level_value string, share_pm int, min_rows int")
     with pytest.raises(ValueError):
         m.load_targets(twice, q.CATEGORY)
+
+
+def test_found_comes_from_the_run_that_draws(spark, folder, monkeypatch):
+    ran = []
+    for name in ("allocate", "draw"):
+        monkeypatch.setattr(m, name, lambda *a, f=getattr(m, name), name=name: ran.append(name) or f(*a))
+    found = {tuple(r) for r in q.p4_found(spark, folder).collect()}
+    assert ran == ["allocate", "draw"]
+    assert found == {(r.format, r.level_value) for r in q.p4_report(spark, folder).where("n_short > 0").collect()}
+    monkeypatch.setattr(m, "allocate", lambda targets, *a: [t.available + 1 for t in targets] + [0])
+    with pytest.raises(ValueError):
+        q.p4_found(spark, folder)
