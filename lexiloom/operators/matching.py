@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Pairs of one group are gathered in one task; more than this many are an error rather than an unbounded group.
+#: Where an id stands in several blocks, the pairs of its group are gathered in one task; more than this many are an error rather than an unbounded group.
 MAX_PAIRS = 200_000
 
 
@@ -46,7 +47,15 @@ def match(left: DataFrame, right: DataFrame, group: str, on: list[str]) -> DataF
 
     left and right have group, the columns of ``on``, and left_id or right_id; pairs may be matched where all of ``on`` agree.
     """
-    candidates = left.join(right, [group, *on]).select(group, "left_id", "right_id").distinct()
+    # rows that agree on ``on`` are a block in which every pair may be matched: the n-th left takes the n-th right. Only groups with
+    # an id in several blocks need a search
+    block = [group, *on]
+    own, other = (side.select(*block, i).distinct().dropna(subset=block) for side, i in ((left, "left_id"), (right, "right_id")))
+    several = [side.groupBy(group, i).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(group) for side, i in ((own, "left_id"), (other, "right_id"))]
+    mixed = several[0].unionByName(several[1]).distinct()
+    numbered = lambda side, i: side.join(mixed, group, "left_anti").withColumn("__n", F.row_number().over(W.partitionBy(*block).orderBy(i)))
+    plain = numbered(own, "left_id").join(numbered(other, "right_id"), [*block, "__n"]).select(group, "left_id", "right_id")
+    candidates = own.join(mixed, group, "left_semi").join(other, block).select(group, "left_id", "right_id").distinct()
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         if len(rows) > MAX_PAIRS:
@@ -55,7 +64,7 @@ def match(left: DataFrame, right: DataFrame, group: str, on: list[str]) -> DataF
         return pd.DataFrame({group: [rows[group].iloc[0]] * len(found), "left_id": list(found), "right_id": list(found.values())})
 
     kinds = dict(candidates.dtypes)
-    done = candidates.groupBy(group).applyInPandas(solve, f"{group} {kinds[group]}, left_id {kinds['left_id']}, right_id {kinds['right_id']}")
+    done = candidates.groupBy(group).applyInPandas(solve, f"{group} {kinds[group]}, left_id {kinds['left_id']}, right_id {kinds['right_id']}").unionByName(plain)
     lone_left = left.select(group, "left_id").distinct().join(done, [group, "left_id"], "left_anti").withColumn("right_id", F.lit(None).cast(kinds["right_id"]))
     lone_right = right.select(group, "right_id").distinct().join(done, [group, "right_id"], "left_anti").withColumn("left_id", F.lit(None).cast(kinds["left_id"]))
     return done.unionByName(lone_left).unionByName(lone_right)

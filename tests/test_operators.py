@@ -293,3 +293,14 @@ def test_target_levels(spark, entries):
     got = [(r.rec_id, r.code, r.expected, r.actual) for r in checks.targets(items, "ref", entries, level="level").collect()]
     assert sorted(got) == [(2, "target_level", "B1", "A1"), (3, "target_missing", None, None)]
     assert rows(checks.targets(items, "ref", entries).select("rec_id", "code")) == [(3, "target_missing")]
+
+
+def test_matching_of_large_and_of_mixed_groups(spark):
+    left = spark.range(600).selectExpr("'g' as g", "cast(id as int) as left_id", "'x' as k")
+    right = spark.range(700).selectExpr("'g' as g", "cast(1000 + id as int) as right_id", "'x' as k")
+    got = matching.match(left, right, "g", ["k"])
+    pairs = got.where("left_id is not null and right_id is not null").collect()
+    assert len(pairs) == len({r.left_id for r in pairs}) == len({r.right_id for r in pairs}) == 600 and got.count() == 700
+    mixed = spark.createDataFrame([("h", 1, "x"), ("h", 1, "y"), ("h", 2, "x")], "g string, left_id int, k string")
+    others = spark.createDataFrame([("h", 7, "x"), ("h", 8, "y"), ("h", 9, None)], "g string, right_id int, k string")
+    assert rows(matching.match(mixed, others, "g", ["k"])) == [("h", 1, 8), ("h", 2, 7), ("h", None, 9)]
