@@ -216,9 +216,10 @@ def exact(block: _Block, query: Query, least: int) -> np.ndarray:
 def near(block: _Block, query: Query, share: float, window: int) -> dict[int, int]:
     """Documents (by number) of which some ``window`` consecutive words hold at least ``share`` of the query's distinct words, with the most they hold.
 
-    Such a window lacks few words, so it holds one of the query's rarest ones, around which it is looked for.
+    The window is at least as long as the query, so an exact copy fits; it never reaches over a document's ends. Such a window lacks few words, so it holds one of the query's rarest ones, around which it is looked for.
     """
     own = sorted(set(query.words), key=lambda w: (block.count(w), w))
+    window = max(window, len(query.words))
     need = math.ceil(len(own) * share - 1e-9)
     best: dict[int, int] = {}
     for a in range(len(own) - need + 1 if own else 0):
@@ -244,12 +245,15 @@ def near(block: _Block, query: Query, share: float, window: int) -> dict[int, in
 
 
 def _densest(block: _Block, own: list[str], p: int, window: int) -> int:
-    """Most distinct words in any ``window`` consecutive positions that include p."""
+    """Most distinct words in any ``window`` consecutive positions of p's document that include p."""
+    d = int(np.searchsorted(block.starts, p, side="right"))
+    low = max(p - window + 1, int(block.starts[d - 1]))
+    high = min(p + window - 1, int(block.starts[d]) - 1) if d < len(block.starts) else p + window - 1
     around = []
     for word in own:
         if block.count(word):
             where = block.positions(word)
-            around += [(x, word) for x in where[np.searchsorted(where, p - window + 1) : np.searchsorted(where, p + window - 1, side="right")].tolist()]
+            around += [(x, word) for x in where[np.searchsorted(where, low) : np.searchsorted(where, high, side="right")].tolist()]
     around.sort()
     most, first, inside = 0, 0, Counter()
     for x, word in around:
@@ -304,9 +308,7 @@ def whole(blocks: DataFrame, queries: list[Query]) -> DataFrame:
 
 
 def proximity(blocks: DataFrame, queries: list[Query], share: float, window: int) -> DataFrame:
-    """doc_id, item_id, n_words, n_near: documents of which ``window`` words hold ``share`` of the item's distinct words, in any order."""
-    if window > GAP:
-        raise ValueError(f"the window is at most {GAP} words, the gap between documents")
+    """doc_id, item_id, n_words, n_near: documents of which ``window`` words (more for a longer item) hold ``share`` of the item's distinct words, in any order."""
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_words", pa.int32()), ("n_near", pa.int32())])
     shared = blocks.sparkSession.sparkContext.broadcast(queries)
 

@@ -27,7 +27,7 @@ def p7_whole(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_near(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents in which four fifths of an item's distinct words stand within 64 words."""
+    """Documents in which four fifths of an item's distinct words stand within 64 words, or as many as the item has."""
     return leak.proximity(*_both(spark, folder), NEAR_SHARE, NEAR_WINDOW)
 
 

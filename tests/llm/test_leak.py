@@ -69,3 +69,13 @@ def test_empty_tables_and_bounds(spark, monkeypatch):
     monkeypatch.setattr(leak, "MAX_QUERY_WORDS", 2)
     with pytest.raises(ValueError):
         leak.load_queries(some, "item_id", "text")
+
+
+def test_near_finds_long_items_and_stays_within_documents(spark):
+    long = " ".join(f"w{i}" for i in range(400))
+    docs = [(1, f"x {long} y"), (2, " ".join(f"w{i}" for i in range(200))), (3, " ".join(f"w{i}" for i in range(200, 400)))]
+    blocks = leak.index(_rows(spark, docs, "doc_id long, text string"), "doc_id", "text")
+    items = leak.load_queries(_rows(spark, [(1, long), (2, " ".join(f"w{i}" for i in range(100)))], "item_id long, text string"), "item_id", "text")
+    got = {(r.doc_id, r.item_id, r.n_words, r.n_near) for r in leak.proximity(blocks, items, 0.8, 64).collect()}
+    assert got == {(1, 1, 400, 400), (1, 2, 100, 100), (2, 2, 100, 100)}
+    assert {r.doc_id for r in leak.proximity(blocks, items[:1], 0.8, 900).collect()} == {1}
