@@ -1,11 +1,15 @@
 """Groups of sentences that differ by small edits, by a token-group matrix.
 
-Two sentences are linked if they share at least ``SHARE`` of the distinct words of the one with fewer. Sentences with
-the same word set form one class. Classes that look alike are partitioned into groups of at most ``GROUP``, each with its
-token union. A class a can only be linked with a larger b if b holds ``m`` of a's n - need + m rarest words, for any m; so
-the matrix stores for each group which sets of m words (m = 2, or 3 in large collections; fewer where a has fewer) its members hold, of words that some
-class looks for. Looking the sets of a's rarest words up gives candidate groups; of these only such are opened whose token union
-bounds the overlap at ``need`` or more, and the members are then compared word by word.
+Two sentences are linked if the distinct words in both are at least ``SHARE`` of the distinct words in at least one of them,
+that is of their union. Sentences with the same word set form one class; classes that share their rarest words are neighbours, and
+``GROUP`` neighbours at most form a group, which stores the union of its members' tokens.
+
+A link of classes a and b with na <= nb words needs an overlap of SHARE * nb at least, so each of them lacks at most
+n - need(n) of its own words, and both hold two common words among their n - need(n) + 2 rarest ones. The matrix therefore
+stores, for each group, the pairs of such words that its members hold. A class looks its own pairs up among classes of fitting size, which names
+candidate groups; of these only such are opened whose token union bounds the overlap high enough, and their members are then compared word by
+word. Texts of more than ``LONG`` distinct words, whose pairs would be many, and those they can be linked with are looked up by one word of the
+n - need(n) + 1 rarest: the same proof, so nothing is lost either way.
 
 Copies never multiply the search: it runs over classes, and only the caller who needs row pairs expands them.
 
@@ -15,17 +19,20 @@ words, case and apostrophes don't matter; an empty table gives empty results; on
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialise
 
 SHARE_NUM, SHARE_DEN = 7, 10
-GROUP = 8
-#: From so many classes on, three rare words are looked up together instead of two: more rows in the matrix, far fewer chance hits.
-MANY = 500_000
+GROUP_BITS = 3
+GROUP = 1 << GROUP_BITS
+#: Distinct words up to which a class is looked up by pairs of words.
+LONG = 200
+#: Words whose rank is broadcast: those that make up a HEAVY-th of all words or more, hence at most so many; none longer than WIDEST.
+HEAVY, WIDEST = 1 << 18, 40
+#: Rows of one class that one task pairs with rows of another.
+BLOCK = 1000
 
 
 def words(text: Column) -> Column:
@@ -36,93 +43,83 @@ def words(text: Column) -> Column:
 
 
 def need(n: Column) -> Column:
-    """The least overlap that links a class of n words with a larger one."""
+    """The least overlap that links a class of n words with any other."""
     return F.floor((n * SHARE_NUM + SHARE_DEN - 1) / SHARE_DEN).cast("int")
 
 
+def linked(both: Column, n: Column, other: Column) -> Column:
+    """Whether an overlap is the share of the union of two sets of n and other words."""
+    return both * (SHARE_NUM + SHARE_DEN) >= (n + other) * SHARE_NUM
+
+
 def classes(rows: DataFrame, by: str, row_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(members: by, row_id, cls; classes: by, cls, toks, probe): rows with the same word set share a class.
+    """(members: by, row_id, cls; classes: cls, toks): rows with the same word set share a class.
 
-    cls numbers the classes. toks are the words as 64-bit numbers that differ between values of by, the rarest first; n - need + m
-    of them lead. probe are those words of toks that lead in some class, m how many are looked up together. Both are tables of
-    the shared folder.
+    toks are the class's words as numbers in ascending order, the rarest word of all first. cls numbers the classes such that neighbours share
+    their rarest words; its high bits, without the last GROUP_BITS, name the class's group. Both are tables of the shared folder.
     """
     rows = rows.select(F.col(by).alias("by"), F.col(row_id).alias("row_id"), F.array_sort(words(F.col(text))).alias("set")).where(F.size("set") > 0)
-    for seed in range(9):
-        # a class's number is a hash of its words, so rows needn't be brought together; two classes of one number ask for another seed
-        named = rows.withColumn("tid", F.sha2(F.concat_ws(" ", "by", F.array_join("set", " ")), 256)).withColumn("cls", F.xxhash64(F.lit(seed), "tid"))
-        named = materialise(named, "members")
-        sets = materialise(named.groupBy("by", "cls", "tid").agg(F.first("set").alias("set")), "sets")
-        if sets.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-            break
-    else:
-        raise RuntimeError("class numbers collide")
-
-    one = sets.select("by", "cls", F.explode(F.transform("set", lambda w: F.xxhash64("by", w))).alias("word"))
-    df = one.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    counted = one.join(df, "word").groupBy("by", "cls").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("own"))
-    toks = materialise(counted.select("by", "cls", F.transform("own", lambda x: x["word"]).alias("toks")), "words")
-    m = 2 if toks.count() < MANY else 3
-    lead = toks.select(F.explode(_lead(F.col("toks"), m)).alias("word")).distinct()
-    probe = toks.select("cls", F.explode("toks").alias("word")).join(lead, "word", "left_semi").groupBy("cls").agg(F.collect_list("word").alias("probe"))
-    return named.select("by", "row_id", "cls"), materialise(toks.join(probe, "cls").withColumn("m", F.lit(m)), "classes")
-
-
-def _lead(toks: Column, m: int) -> Column:
-    """The rarest words of which a linked larger class holds m (or as many as the link needs, where these are fewer)."""
-    least = need(F.size(toks))
-    return F.slice(toks, 1, F.size(toks) - least + F.least(F.lit(m), least))
-
-
-def _sets(toks: Column, m: int) -> Column:
-    """All sets of m words (1 to 3) of a list, each as one number, whatever their order."""
-    own = F.array_sort(toks)
-    after = lambda i: F.slice(own, i + 2, F.size(own))
-    if m == 1:
-        return F.transform(own, lambda x: F.xxhash64(x))
-    if m == 2:
-        return F.flatten(F.transform(own, lambda x, i: F.transform(after(i), lambda y: F.xxhash64(x, y))))
-    triples = lambda x, i: F.flatten(F.transform(after(i), lambda y, k: F.transform(F.slice(own, i + k + 3, F.size(own)), lambda z: F.xxhash64(x, y, z))))
-    return F.flatten(F.transform(own, triples))
+    # words hold no line feed, so the text that is hashed stands for (by, set)
+    named = materialise(rows.withColumn("key", F.unhex(F.md5(F.concat_ws("\n", "by", F.array_join("set", " "))))), "members")
+
+    # words numbered by how many rows hold them; any order would do, this one leaves the fewest candidates
+    counted = named.select("by", F.explode("set").alias("word")).groupBy("by", "word").agg(F.count(F.lit(1)).alias("n"))
+    rank = materialise(counted.repartitionByRange("n", "by", "word").sortWithinPartitions("n", "by", "word").withColumn("tok", F.monotonically_increasing_id()), "words")
+    total = rank.agg(F.sum("n")).first()[0] or 0
+    frequent = (F.col("n") * HEAVY >= total) & (F.length("word") <= WIDEST)
+
+    # frequent words get their number by broadcast, without leaving the class's partition; only the others are sent to theirs
+    sets = named.groupBy("key").agg(F.first("by").alias("by"), F.first("set").alias("set"))
+    known = sets.select("key", "by", F.explode("set").alias("word")).join(F.broadcast(rank.where(frequent).select("by", "word", "tok")), ["by", "word"], "left")
+    base = materialise(known.groupBy("key").agg(F.first("by").alias("by"), F.collect_list("tok").alias("toks"), F.collect_list(F.when(F.col("tok").isNull(), F.col("word"))).alias("rest")), "sets")
+    seldom = base.select("key", "by", F.explode("rest").alias("word")).join(rank.where(~frequent).select("by", "word", "tok"), ["by", "word"])
+    full = base.join(seldom.groupBy("key").agg(F.collect_list("tok").alias("more")), "key", "left")
+    full = full.select("key", F.array_sort(F.concat("toks", F.coalesce("more", F.array().cast("array<bigint>")))).alias("toks"))
+
+    order = [*(F.get("toks", F.lit(i)) for i in range(3)), F.col("key")]
+    placed = full.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("cls", F.monotonically_increasing_id())
+    placed = materialise(placed, "classes")
+    return materialise(named.join(placed.select("key", "cls"), "key").select("by", "row_id", "cls"), "rows"), placed.select("cls", "toks")
 
 
 def groups(cls: DataFrame) -> DataFrame:
-    """grp, own (cls, toks, probe of its classes), union: neighbours in the order of a min-hash signature, at most GROUP each."""
-    signature = F.slice(F.array_sort(F.transform("toks", lambda t: F.hash(t))), 1, 3)
-    spread = cls.withColumn("sig", signature).repartitionByRange(F.col("sig"), F.col("cls"))
-    # the running number within a range partition, in sorted order: its high bits name the partition
-    numbered = spread.sortWithinPartitions("sig", "cls").withColumn("at", F.monotonically_increasing_id())
-    grouped = numbered.withColumn("grp", F.floor(F.col("at") / GROUP).cast("long")).groupBy("grp").agg(F.collect_list(F.struct("cls", "toks", "probe")).alias("own"))
-    return materialise(grouped.withColumn("union", F.array_distinct(F.flatten("own.toks"))), "groups")
+    """grp, own (cls, toks of its classes), union, least (words of its smallest class)."""
+    grouped = cls.groupBy(_group("cls").alias("grp")).agg(F.collect_list(F.struct("cls", "toks")).alias("own"), F.min(F.size("toks")).alias("least"))
+    return grouped.withColumn("union", F.array_distinct(F.flatten("own.toks")))
+
+
+def _group(cls: str) -> Column:
+    return F.shiftright(cls, GROUP_BITS)
 
 
-def _held(group: DataFrame, size: int) -> DataFrame:
-    """grp, key: the rows of the matrix for sets of one size."""
-    return group.select("grp", F.explode(F.array_distinct(F.flatten(F.transform("own", lambda c: _sets(c["probe"], size))))).alias("key"))
+def matrix(cls: DataFrame) -> DataFrame:
+    """x, y, cls, n: the words (y is -1) or pairs of words by which a class of n words is found."""
+    sized = cls.withColumn("n", F.size("toks")).where("n > 1")
+    rarest = lambda m: F.slice("toks", 1, F.col("n") - need(F.col("n")) + m)
+    pairs = F.flatten(F.transform(rarest(2), lambda x, i: F.transform(F.slice(rarest(2), i + 2, F.col("n")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    single = F.transform(rarest(1), lambda x: F.struct(x.alias("x"), F.lit(-1).cast("long").alias("y")))
+    none = F.array().cast("array<struct<x:bigint,y:bigint>>")
+    # a class that can be linked with a long one has need(LONG + 1) words at least
+    keys = F.concat(F.when(F.col("n") <= LONG, pairs).otherwise(none), F.when(F.col("n") >= need(F.lit(LONG + 1)), single).otherwise(none))
+    return sized.select("cls", "n", F.explode(keys).alias("k")).select("k.x", "k.y", "cls", "n")
 
 
 def links(cls: DataFrame) -> DataFrame:
-    """a, b: the linked pairs of different classes, a < b."""
-    group = groups(cls.select("cls", "toks", "probe"))
-    # rows of the matrix: the word sets that a group's classes hold, of each size that some class looks for
-    first = cls.select("m").first()
-    most, least = first["m"] if first else 2, need(F.size("toks"))
-    hits = []
-    for size in range(1, most + 1):
-        sought = cls.where(least == size if size < most else least >= size).select("cls", F.explode(_sets(_lead(F.col("toks"), size), size)).alias("key"))
-        if size < most and sought.isEmpty():
-            continue
-        hits.append(sought.join(_held(group, size), "key").select("cls", "grp"))
-    hits = reduce(DataFrame.unionByName, hits).distinct()
+    """a, b: the linked pairs of different classes, a the one with fewer words (of equal ones the lower number)."""
+    m = matrix(cls)
+    # one shuffle serves both sides; of two classes the smaller asks
+    fits = (F.col("q.n") * SHARE_DEN >= F.col("g.n") * SHARE_NUM) & ((F.col("q.n") < F.col("g.n")) | ((F.col("q.n") == F.col("g.n")) & (F.col("q.cls") < F.col("g.cls"))))
+    hits = m.alias("q").join(m.alias("g"), (F.col("q.x") == F.col("g.x")) & (F.col("q.y") == F.col("g.y")) & fits)
+    hits = hits.select(F.col("q.cls").alias("cls"), _group("g.cls").alias("grp")).repartition("cls").distinct()
 
     # bound each class's overlap with the group's union; open the groups that qualify
     n = F.size("toks")
-    asking = hits.join(cls.select("cls", "toks"), "cls")
-    opened = asking.join(group.select("grp", "own", "union"), "grp").where(F.size(F.array_intersect("union", "toks")) >= need(n))
+    asking = hits.join(cls, "cls").join(groups(cls), "grp")
+    opened = asking.where(linked(F.size(F.array_intersect("union", "toks")), n, F.greatest(n, F.col("least"))))
     member = opened.select("cls", "toks", F.explode("own").alias("m"))
     larger = (F.size("m.toks") > n) | ((F.size("m.toks") == n) & (F.col("m.cls") > F.col("cls")))
-    linked = member.where(larger).where(F.size(F.array_intersect("m.toks", "toks")) >= need(n))
-    return linked.select(F.least("cls", "m.cls").alias("a"), F.greatest("cls", "m.cls").alias("b"))
+    found = member.where(larger).where(linked(F.size(F.array_intersect("m.toks", "toks")), n, F.size("m.toks")))
+    return found.select(F.col("cls").alias("a"), F.col("m.cls").alias("b"))
 
 
 def components(cls: DataFrame, pairs: DataFrame, *, rounds: int = 40) -> DataFrame:
@@ -150,10 +147,23 @@ def components(cls: DataFrame, pairs: DataFrame, *, rounds: int = 40) -> DataFra
 
 
 def row_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """by, rec_id_a, rec_id_b: linked rows, of one class or of two linked ones, each pair once."""
-    a = members.select("by", F.col("cls").alias("a"), F.col("row_id").alias("x"))
-    b = members.select(F.col("cls").alias("b"), F.col("row_id").alias("y"))
-    several = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    copies = several.join(a, "a").join(b, "b").where("x < y")
-    other = pairs.join(a, "a").join(b, "b")
-    return copies.unionByName(other).select("by", F.least("x", "y").alias("rec_id_a"), F.greatest("x", "y").alias("rec_id_b"))
+    """by, rec_id_a, rec_id_b: linked rows, of one class or of two linked ones, each pair once.
+
+    A class of many rows is paired block by block, so no task gets more than BLOCK rows of each side.
+    """
+    count = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    blocks = count.select("cls", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
+    large = blocks.where("k > 1").select("cls", "k")
+    rows = members.join(large, "cls", "left").select("by", "row_id", "cls", F.coalesce(F.pmod(F.xxhash64("row_id"), F.col("k")).cast("int"), F.lit(0)).alias("at"))
+    a = rows.select("by", F.col("cls").alias("a"), F.col("at").alias("i"), F.col("row_id").alias("x"))
+    b = rows.select(F.col("cls").alias("b"), F.col("at").alias("j"), F.col("row_id").alias("y"))
+
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    copies = blocks.where("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"), "k", each("k").alias("i"))
+    copies = copies.select("a", "b", "i", F.explode(F.sequence("i", F.col("k") - 1)).alias("j"))
+    k = lambda own: large.select(F.col("cls").alias(own), F.col("k").alias(f"k_{own}"))
+    other = pairs.join(k("a"), "a", "left").join(k("b"), "b", "left").select("a", "b", F.coalesce("k_a", F.lit(1)).alias("k_a"), F.coalesce("k_b", F.lit(1)).alias("k_b"))
+    other = other.select("a", "b", "k_b", each("k_a").alias("i")).select("a", "b", "i", each("k_b").alias("j"))
+    found = copies.unionByName(other).join(a, ["a", "i"]).join(b, ["b", "j"])
+    once = (F.col("a") != F.col("b")) | (F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))
+    return found.where(once).select("by", F.least("x", "y").alias("rec_id_a"), F.greatest("x", "y").alias("rec_id_b"))

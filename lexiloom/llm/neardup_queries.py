@@ -41,6 +41,29 @@ def queries() -> dict:
     return {f.__name__: f for f in (p3_found, p3_groups)}
 
 
+_PLAIN = "translate(translate(text, '''’‘', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Pairs of rows by their counts of common words, straight from the problem's sentence.
+_PAIRS = f"""
+with s as ({" union all ".join(f"select '{t}' as field, rec_id, {c} as text from {t}" for t, c in FIELDS.items())}),
+w as (select field, rec_id, list_distinct(regexp_extract_all({_PLAIN}, '[a-z0-9]+')) as words from s where text is not null),
+u as (select field, rec_id, len(words) as n, unnest(words) as word from w),
+c as (select a.field, a.rec_id as rec_id_a, b.rec_id as rec_id_b, a.n as n_a, b.n as n_b, count(*) as n_both
+  from u a join u b on a.field = b.field and a.word = b.word and a.rec_id < b.rec_id group by all),
+p as (select field, rec_id_a, rec_id_b from c where 10 * n_both >= 7 * (n_a + n_b - n_both))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None: compared row by row with brute force in the tests, as all pairs of whole tables are too slow in SQL."""
-    return {}
+    return {
+        "p3_found": _PAIRS + " select field, rec_id_a, rec_id_b from p",
+        "p3_groups": _PAIRS.replace("with s as", "with recursive s as", 1)
+        + """,
+k as (select field, rec_id, min(rec_id) over (partition by field, list_sort(words)) as class_id from w where len(words) > 0),
+l as (select distinct p.field, a.class_id as x, b.class_id as y from p
+  join k a on a.field = p.field and a.rec_id = p.rec_id_a join k b on b.field = p.field and b.rec_id = p.rec_id_b where a.class_id != b.class_id),
+e as (select field, x, y from l union select field, y, x from l),
+r as (select field, class_id as x, class_id as top from k union select e.field, e.y, r.top from r join e on e.field = r.field and e.x = r.x),
+g as (select field, x, min(top) as group_id from r group by all),
+d as (select field, x, count(*) as n_links from e group by all)
+select k.field, k.rec_id, k.class_id, g.group_id, coalesce(d.n_links, 0) as n_links
+from k join g on g.field = k.field and g.x = k.class_id left join d on d.field = k.field and d.x = k.class_id""",
+    }

@@ -16,7 +16,8 @@ def _words(text):
 
 def brute(rows):
     rows = [(f, r, w) for f, r, t in rows if t is not None and (w := _words(t))]
-    return {(f, min(r, s), max(r, s)) for i, (f, r, w) in enumerate(rows) for g, s, v in rows[i + 1 :] if f == g and 10 * len(w & v) >= 7 * min(len(w), len(v))}
+    # words in both sentences, and words in at least one of them
+    return {(f, min(r, s), max(r, s)) for i, (f, r, w) in enumerate(rows) for g, s, v in rows[i + 1 :] if f == g and 10 * len(w & v) >= 7 * len(w | v)}
 
 
 def found(spark, rows):
@@ -27,18 +28,40 @@ def found(spark, rows):
     return set(pairs)
 
 
-@pytest.mark.parametrize("many", [n.MANY, 1])
-def test_tables(spark, folder, many, monkeypatch):
-    monkeypatch.setattr(n, "MANY", many)
+def test_tables(spark, folder):
     rows = [tuple(r) for r in q.sentences(spark, folder).collect()]
     assert {tuple(r) for r in q.p3_found(spark, folder).collect()} == brute(rows)
 
 
-@pytest.mark.parametrize("many", [n.MANY, 1])
-def test_small_sets_copies_and_odd_texts(spark, many, monkeypatch):
-    monkeypatch.setattr(n, "MANY", many)
-    texts = ["", None, "____ !", "a", "A", "a b", "b a", "a b c", "don't stop", "dont stop now", "K k", "c d e f g h i j k l", "c d e f g h i x y z", "c d e f g h x y z w", "a " * 50_000, " ".join(f"w{i}" for i in range(300)), " ".join(f"w{i}" for i in range(90, 390))]
-    rows = [(f, i, t) for f in ("x", "y") for i, t in enumerate(texts)] + [("x", 100 + i, "same text here") for i in range(12)]
+def test_share_of_the_union(spark):
+    """7 common words: of 10 in either they are a link; of 11 in either they aren't, though 7 of the smaller's 9."""
+    seven = "a b c d e f g"
+    rows = [("x", 1, seven), ("x", 2, seven + " h i j"), ("x", 3, seven + " k l m n"), ("x", 4, seven + " h i"), ("x", 5, seven + " k l"), ("x", 6, seven + " o p q")]
+    assert found(spark, rows) == brute(rows)
+    assert ("x", 1, 2) in brute(rows) and ("x", 1, 3) not in brute(rows) and ("x", 4, 5) not in brute(rows) and ("x", 2, 6) not in brute(rows)
+
+
+@pytest.mark.parametrize("limits", [{}, {"LONG": 3}, {"LONG": 12, "HEAVY": 1}, {"BLOCK": 2, "HEAVY": 40}])
+def test_small_sets_copies_and_odd_texts(spark, limits, monkeypatch):
+    for name, value in limits.items():
+        monkeypatch.setattr(n, name, value)
+    texts = ["", None, "____ !", "a", "A", "a b", "b a", "a b c", "don't stop", "dont stop now", "K k", "c d e f g h i j k l", "c d e f g h i j k x y", "c d e f g h x y z w", "a " * 50_000, "v" * 60 + " a b"]
+    texts += [" ".join(f"w{i}" for i in range(a, a + k)) for a, k in ((0, 300), (40, 300), (60, 300), (0, 215), (0, 199), (0, 201), (0, 140))]
+    rows = [(f, i, t) for f in ("x", "y") for i, t in enumerate(texts)] + [("x", 100 + i, "same text here") for i in range(12)] + [("x", 200 + i, "same text here too") for i in range(7)]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_random_edits(spark):
+    import random
+
+    r = random.Random(5)
+    rows = []
+    for i in range(60):
+        base = [f"w{int(r.paretovariate(0.7)) % 400}" for _ in range(r.randint(1, 24))]
+        for j in range(r.randint(1, 6)):
+            edited = [w for w in base if r.random() > 0.1] + [f"n{r.randint(0, 30)}" for _ in range(r.randint(0, 2))]
+            r.shuffle(edited)
+            rows.append((r.choice("xy"), 10 * i + j, " ".join(edited)))
     assert found(spark, rows) == brute(rows)
 
 
