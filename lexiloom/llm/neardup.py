@@ -6,8 +6,8 @@ that is of their union. Sentences with the same word set form one class; classes
 
 A link of classes a and b with na <= nb words needs an overlap of SHARE * nb at least, so each of them lacks at most
 n - need(n) of its own words, and both hold two common words among their n - need(n) + 2 rarest ones. The matrix therefore
-stores, for each group, the pairs of such words that its members hold. A class looks its own pairs up among classes of fitting size, which names
-candidate groups; of these only such are opened whose token union bounds the overlap high enough, and their members are then compared word by
+stores, for each group, the pairs of such words that its members hold. A class looks its own pairs up among classes of fitting size of which enough
+words follow the pair, which names candidate groups; of these only such are opened whose token union bounds the overlap high enough, and their members are then compared word by
 word. Texts of more than ``LONG`` distinct words, whose pairs would be many, and those they can be linked with are looked up by one word of the
 n - need(n) + 1 rarest: the same proof, so nothing is lost either way.
 
@@ -93,23 +93,29 @@ def _group(cls: str) -> Column:
 
 
 def matrix(cls: DataFrame) -> DataFrame:
-    """x, y, cls, n: the words (y is -1) or pairs of words by which a class of n words is found."""
+    """key, cls, n, most: the words or pairs of words, hashed, by which a class of n words is found, and the most common words there
+    can be if none stands before or between them."""
     sized = cls.withColumn("n", F.size("toks")).where("n > 1")
     rarest = lambda m: F.slice("toks", 1, F.col("n") - need(F.col("n")) + m)
-    pairs = F.flatten(F.transform(rarest(2), lambda x, i: F.transform(F.slice(rarest(2), i + 2, F.col("n")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    single = F.transform(rarest(1), lambda x: F.struct(x.alias("x"), F.lit(-1).cast("long").alias("y")))
-    none = F.array().cast("array<struct<x:bigint,y:bigint>>")
+    entry = lambda key, m, at: F.struct(key.alias("key"), (m + F.col("n") - 1 - at).alias("most"))
+    pairs = F.flatten(F.transform(rarest(2), lambda x, i: F.transform(F.slice(rarest(2), i + 2, F.col("n")), lambda y, k: entry(F.xxhash64(x, y), 2, i + 1 + k))))
+    single = F.transform(rarest(1), lambda x, i: entry(F.xxhash64(x), 1, i))
+    none = F.array().cast("array<struct<key:bigint,most:int>>")
     # a class that can be linked with a long one has need(LONG + 1) words at least
     keys = F.concat(F.when(F.col("n") <= LONG, pairs).otherwise(none), F.when(F.col("n") >= need(F.lit(LONG + 1)), single).otherwise(none))
-    return sized.select("cls", "n", F.explode(keys).alias("k")).select("k.x", "k.y", "cls", "n")
+    return sized.select("cls", "n", F.explode(keys).alias("k")).select("k.key", "cls", "n", "k.most")
 
 
 def links(cls: DataFrame) -> DataFrame:
     """a, b: the linked pairs of different classes, a the one with fewer words (of equal ones the lower number)."""
     m = matrix(cls)
     # one shuffle serves both sides; of two classes the smaller asks
-    fits = (F.col("q.n") * SHARE_DEN >= F.col("g.n") * SHARE_NUM) & ((F.col("q.n") < F.col("g.n")) | ((F.col("q.n") == F.col("g.n")) & (F.col("q.cls") < F.col("g.cls"))))
-    hits = m.alias("q").join(m.alias("g"), (F.col("q.x") == F.col("g.x")) & (F.col("q.y") == F.col("g.y")) & fits)
+    n, other = F.col("q.n"), F.col("g.n")
+    fits = (n * SHARE_DEN >= other * SHARE_NUM) & ((n < other) | ((n == other) & (F.col("q.cls") < F.col("g.cls"))))
+    # of the first words that two classes share, those that follow have to make up the rest of the overlap
+    reach = linked(F.least("q.most", "g.most"), n, other)
+    # the scan's size says nothing about that of the keys, so neither side may be broadcast by it
+    hits = m.alias("q").join(m.alias("g").hint("merge"), (F.col("q.key") == F.col("g.key")) & fits & reach)
     hits = hits.select(F.col("q.cls").alias("cls"), _group("g.cls").alias("grp")).repartition("cls").distinct()
 
     # bound each class's overlap with the group's union; open the groups that qualify
