@@ -37,9 +37,11 @@ BLOCK = 1000
 
 def words(text: Column) -> Column:
     """Distinct runs of ASCII letters and digits, lower-cased, after apostrophes are dropped."""
-    # lower-cased in ASCII only: letters such as the Kelvin sign aren't ASCII letters
-    plain = F.translate(F.translate(text, "'’‘", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_distinct(F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), F.lit(0)))
+    plain = text
+    for mark in "'’‘":
+        plain = F.replace(plain, F.lit(mark), F.lit(""))
+    # lower-cased run by run: letters such as the Kelvin sign, whose lower case is ASCII, are in none
+    return F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower))
 
 
 def need(n: Column) -> Column:
@@ -58,7 +60,7 @@ def classes(rows: DataFrame, by: str, row_id: str, text: str) -> tuple[DataFrame
     toks are the class's words as numbers in ascending order, the rarest word of all first. cls numbers the classes such that neighbours share
     their rarest words; its high bits, without the last GROUP_BITS, name the class's group. Both are tables of the shared folder.
     """
-    rows = rows.select(F.col(by).alias("by"), F.col(row_id).alias("row_id"), F.array_sort(words(F.col(text))).alias("set")).where(F.size("set") > 0)
+    rows = rows.where(F.col(text).rlike("[A-Za-z0-9]")).select(F.col(by).alias("by"), F.col(row_id).alias("row_id"), F.sort_array(words(F.col(text))).alias("set"))
     # words hold no line feed, so the text that is hashed stands for (by, set)
     named = materialise(rows.withColumn("key", F.unhex(F.md5(F.concat_ws("\n", "by", F.array_join("set", " "))))), "members")
 
