@@ -76,6 +76,17 @@ def choice_key(text: Column | str) -> Column:
     return nfc(strip(text))
 
 
+#: Characters that no text to be compared holds: what stands between the texts of a list, and for a null.
+_BETWEEN, _NULL = "\x01", "\x02"
+
+
+def composed_keys(texts: Column) -> Column:
+    """choice_key of each text of a list: they are composed together, as a list's items can't leave the JVM one by one."""
+    joined = F.array_join(F.transform(texts, lambda t: F.coalesce(strip(t), F.lit(_NULL))), _BETWEEN)
+    own = F.transform(F.split(nfc(joined), _BETWEEN), lambda t: F.nullif(t, F.lit(_NULL)))
+    return F.when(F.size(texts) == 0, F.array().cast("array<string>")).otherwise(own)
+
+
 def fill_all(text: Column | str, answer: Column | str) -> Column:
     return F.replace(_col(text), F.lit(BLANK), _col(answer))
 
@@ -108,8 +119,8 @@ def is_multiword(text: Column | str) -> Column:
 
 
 def variants(joined: Column | str) -> Column:
-    """The variants of 'a/b/c'."""
-    return F.transform(F.split(_col(joined), "/"), lambda v: F.regexp_replace(v, _ENDS, ""))
+    """The variants of 'a/b/c', composed and stripped."""
+    return F.transform(F.split(nfc(joined), "/"), lambda v: F.regexp_replace(v, _ENDS, ""))
 
 
 def parent_number(number: Column | str) -> Column:
@@ -145,31 +156,44 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
+# What counts as part of a word at the ends of a span.
+_ALNUM = "[\\p{L}\\p{N}]"
+
+
 def holds_span(text: Column | str, span: Column | str) -> Column:
-    """Whether span stands in text without cutting a word at either end."""
+    """Whether span stands in text without cutting a run of letters and digits at either end."""
     t, s = _col(text), _col(span)
-    before = F.when(s.rlike("(?U)^\\w"), F.lit("(?U)(?<!\\w)")).otherwise(F.lit(""))
-    after = F.when(s.rlike("(?U)\\w$"), F.lit("(?!\\w)")).otherwise(F.lit(""))
+    before = F.when(s.rlike(f"^{_ALNUM}"), F.lit(f"(?<!{_ALNUM})")).otherwise(F.lit(""))
+    after = F.when(s.rlike(f"{_ALNUM}\\z"), F.lit(f"(?!{_ALNUM})")).otherwise(F.lit(""))
     return (F.length(s) > 0) & F.regexp_like(t, F.concat(before, quoted(s), after))
 
 
+# References and fine levels (or ranges of them) as whole tokens of a text.
+ITEM_REF = "(?<![A-Za-z0-9-])gp:[0-9]+(?:-[0-9]+)?(?![A-Za-z0-9-])"
+_LEVEL = "(?:A1\\.[123]|A2\\.[12]|B1\\.[12]|B2\\.[12])"
+LEVEL_REF = f"(?<![A-Za-z0-9.]){_LEVEL}(?:-{_LEVEL})?(?![A-Za-z0-9.])"
+
+
 def item_refs(text: Column | str) -> Column:
     """Distinct grammar references in a text, bounded on both sides."""
-    return F.array_distinct(F.regexp_extract_all(_col(text), F.lit("(?<![A-Za-z0-9:-])gp:[0-9]+(?:-[0-9]+)?(?![A-Za-z0-9-])"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(_col(text), F.lit(ITEM_REF), F.lit(0)))
 
 
 def level_refs(text: Column | str) -> Column:
-    """Distinct fine levels in a text, bounded on both sides."""
-    return F.array_distinct(F.regexp_extract_all(_col(text), F.lit("(?<![A-Za-z0-9.])(?:A1\\.[123]|A2\\.[12]|B1\\.[12]|B2\\.[12])(?![A-Za-z0-9]|\\.[0-9])"), F.lit(0)))
+    """Distinct fine levels and ranges in a text, bounded on both sides; a range is one of them."""
+    return F.array_distinct(F.regexp_extract_all(_col(text), F.lit(LEVEL_REF), F.lit(0)))
 
 
 def column_name(number: Column | str) -> Column:
-    """Spreadsheet letters of a column counted from 1 (up to three letters)."""
-    n = _col(number)
-    letter = lambda x: F.char((F.pmod(x, F.lit(26)) + 65).cast("long"))
-    second = F.floor((n - 1 - 26) / 26)
-    third = F.floor((n - 1 - 26 - 676) / 676)
-    return F.concat(F.when(n > 702, letter(third)).otherwise(""), F.when(n > 26, letter(second)).otherwise(""), letter(n - 1))
+    """Spreadsheet letters of a column counted from 1."""
+    start = F.struct(_col(number).cast("long").alias("left"), F.lit("").alias("name"))
+
+    def letter(acc: Column, _: Column) -> Column:
+        more = F.struct(F.floor((acc["left"] - 1) / 26).cast("long").alias("left"), F.concat(F.char(F.pmod(acc["left"] - 1, F.lit(26)) + 65), acc["name"]).alias("name"))
+        return F.when(acc["left"] > 0, more).otherwise(acc)
+
+    # 14 letters name more columns than there are whole numbers
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, letter, lambda acc: F.nullif(acc["name"], F.lit("")))
 
 
 def pointer(*members: Column | str) -> Column:
@@ -183,6 +207,27 @@ def version_label(**parts: Column | str) -> Column:
     return F.concat_ws("+", *(F.concat(F.lit(k), _col(v)) for k, v in parts.items()))
 
 
+def citation(title: Column | str, label: Column | str, url: Column | str, retrieved: Column | str, *, japanese: bool = False) -> Column:
+    """One line that cites a source; the Japanese one has the year and the month without a leading zero. Null where a part is missing."""
+    t, v, u, d = _col(title), _col(label), _col(url), _col(retrieved)
+    if not japanese:
+        return F.concat(t, F.lit(" ("), v, F.lit("). Retrieved from "), u, F.lit(" on "), F.date_format(d, "yyyy-MM-dd"), F.lit("."))
+    return F.concat(F.lit("『"), t, F.lit("』("), v, F.lit("版) (URL: "), u, F.lit(" より"), F.year(d).cast("string"), F.lit("年"), F.month(d).cast("string"), F.lit("月ダウンロード)"))
+
+
+def with_members(struct: Column | str, **values: Column) -> Column:
+    """A struct with more members, or other values of those it has."""
+    out = _col(struct)
+    for name, value in values.items():
+        out = out.withField(name, value)
+    return out
+
+
+def without_members(struct: Column | str, *names: str) -> Column:
+    """A struct without some members, for comparing what is left."""
+    return _col(struct).dropFields(*names)
+
+
 def major(version: Column | str) -> Column:
     return F.split_part(_col(version), F.lit("."), F.lit(1))
 

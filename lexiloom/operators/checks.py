@@ -16,11 +16,11 @@ from . import lookup, tokens
 KEY = ["rec_id"]
 
 
-def violation(code: str, location: str, broken: Column, *, evidence: Column | None = None, expected: Column | None = None, actual: Column | None = None) -> Column:
+def violation(code: str, location: str | Column, broken: Column, *, evidence: Column | None = None, expected: Column | None = None, actual: Column | None = None) -> Column:
     """One check as a struct; unknown (null) conditions aren't violations."""
     none = F.lit(None).cast("string")
     as_text = lambda c: none if c is None else c.cast("string")
-    return F.struct(F.lit(code).alias("code"), F.lit(location).alias("location"), as_text(evidence).alias("evidence"), as_text(expected).alias("expected"), as_text(actual).alias("actual"), F.coalesce(broken, F.lit(False)).alias("broken"))
+    return F.struct(F.lit(code).alias("code"), (F.lit(location) if isinstance(location, str) else location).alias("location"), as_text(evidence).alias("evidence"), as_text(expected).alias("expected"), as_text(actual).alias("actual"), F.coalesce(broken, F.lit(False)).alias("broken"))
 
 
 def apply(items: DataFrame, checks: list[Column], key: list[str] = KEY) -> DataFrame:
@@ -49,7 +49,7 @@ def word_limit(column: str, location: str, level: Column | str, limits: dict[str
 def length_limit(column: str, location: str, kind: Column | str, limits: dict[str, int]) -> Column:
     """No more characters than the kind of text allows."""
     most = F.element_at(F.create_map(*(F.lit(x) for kv in limits.items() for x in kv)), F.col(kind) if isinstance(kind, str) else kind)
-    n = F.char_length(F.col(column))
+    n = text.n_characters(column)
     return violation("too_long", location, n > most, expected=most, actual=n)
 
 
@@ -58,10 +58,10 @@ def japanese(column: str, location: str) -> Column:
 
 
 def choices(column: str, key: str, *, n: int = 4) -> list[Column]:
-    """n choices, one of them correct, no two alike by their key ('answer' or 'choice' key, without composition here)."""
+    """n choices, one of them correct, no two alike by their key: 'answer' (stripped, lower case) or 'choice' (stripped, composed)."""
     own = F.filter(F.col(column), lambda c: c.isNotNull())
-    norm = (lambda t: F.lower(text.strip(t))) if key == "answer" else text.strip
-    keys = F.transform(own, lambda c: norm(c["text"]))
+    texts = F.transform(own, lambda c: c["text"])
+    keys = F.transform(texts, text.answer_key) if key == "answer" else text.composed_keys(texts)
     right = F.size(F.filter(own, lambda c: F.coalesce(c["is_correct"], F.lit(False))))
     return [
         violation("choice_count", column, F.size(own) != n, expected=F.lit(n), actual=F.size(own)),
@@ -169,11 +169,11 @@ def out_of_range(items: DataFrame, ref: str, level: str, grammar: DataFrame, key
     return apply(joined, [violation("target_range", "target/ref", ~fits, evidence=F.col(ref), expected=F.concat_ws("-", "low", "high"), actual=F.col(level))], key)
 
 
-def reordered(shuffled: Column, answer: Column) -> list[Column]:
+def reordered(shuffled: Column, answer: Column, *, codes: tuple[str, str] = ("other_tokens", "same_order"), location: str = "tokens") -> list[Column]:
     """Tokens that must be the answer's, as often, but in another order."""
     return [
-        violation("other_tokens", "tokens", F.array_sort(shuffled) != F.array_sort(answer)),
-        violation("same_order", "tokens", shuffled == answer),
+        violation(codes[0], location, F.array_sort(shuffled) != F.array_sort(answer)),
+        violation(codes[1], location, shuffled == answer),
     ]
 
 
@@ -188,8 +188,7 @@ def equivalents(answer: str, others: str) -> list[Column]:
 
 def unchanged(source: str, target: str, answer: str) -> Column:
     """A rewritten sentence that equals its source."""
-    key = lambda c: text.strip(text.collapse(F.lower(c)))
-    return violation("same_sentence", target, key(F.col(source)) == key(text.fill_all(target, answer)))
+    return violation("same_sentence", target, text.sentence_key(source) == text.sentence_key(text.fill_all(target, answer)))
 
 
 def reuse(rows: DataFrame, within: list[str], by: str, member: str, *, most: int = 1) -> DataFrame:
