@@ -116,6 +116,12 @@ def same_numbers(a: str, b: str) -> bool:
     return Exact(a).value == Exact(b).value
 
 
+@F.pandas_udf(T.BooleanType())
+def equal_numbers(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether two columns' number tokens are the same value, exactly; null where either is."""
+    return pd.Series([None if x is None or y is None else same_numbers(x, y) for x, y in zip(a, b)], dtype=object)
+
+
 def digest(content: Column | str) -> Column:
     """SHA-256 in hexadecimal of a text or of bytes."""
     return F.sha2(F.col(content) if isinstance(content, str) else content, 256)

@@ -12,23 +12,25 @@ from ..functions import text
 _Q = "(q(?:0[1-9]|1[0-9]|20))"
 FILE_KINDS = {
     "part": f"^{_Q}\\.(gen[1-3])\\.(candidate|machine|request|review)\\.json\\z",
-    "invalid": f"^{_Q}\\.(gen[1-3])\\.(candidate(?=\\.invalid[12])|review)\\.invalid([123])\\.txt\\z",
+    "candidate_invalid": f"^{_Q}\\.(gen[1-3])\\.(candidate)\\.invalid([12])\\.txt\\z",
+    "review_invalid": f"^{_Q}\\.(gen[1-3])\\.(review)\\.invalid([123])\\.txt\\z",
     "set_check": f"^set_check\\.(?:{_Q}\\.(gen[1-3])|final)\\.json\\z",
     "outcome": f"^slot\\.{_Q}\\.outcome\\.json\\z",
+    "work": f"^{_Q}\\.(gen[1-3])\\.[a-z]+-(?:prompt|last)\\.txt\\z",
 }
 
 
 def classified(names: DataFrame, column: str = "name") -> DataFrame:
     """names with kind, question_id, generation, part and n_invalid out of the file's name; kind is null for unknown names."""
     c = F.col(column)
-    kind = F.coalesce(*(F.when(c.rlike(p), k) for k, p in FILE_KINDS.items()))
+    kind = F.coalesce(*(F.when(c.rlike(p), k.removeprefix("candidate_").removeprefix("review_")) for k, p in FILE_KINDS.items()))
     grab = lambda pattern, i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
     return names.withColumns({
         "kind": kind,
         "question_id": F.coalesce(*(grab(FILE_KINDS[k], 1) for k in FILE_KINDS)),
-        "generation": F.coalesce(*(grab(FILE_KINDS[k], 2) for k in ("part", "invalid", "set_check"))),
-        "part": F.coalesce(grab(FILE_KINDS["part"], 3), grab(FILE_KINDS["invalid"], 3)),
-        "n_invalid": grab(FILE_KINDS["invalid"], 4).cast("int"),
+        "generation": F.coalesce(*(grab(FILE_KINDS[k], 2) for k in ("part", "candidate_invalid", "review_invalid", "set_check", "work"))),
+        "part": F.coalesce(*(grab(FILE_KINDS[k], 3) for k in ("part", "candidate_invalid", "review_invalid"))),
+        "n_invalid": F.coalesce(grab(FILE_KINDS["candidate_invalid"], 4), grab(FILE_KINDS["review_invalid"], 4)).cast("int"),
     })
 
 
@@ -93,6 +95,12 @@ def invalid_sequences(names: DataFrame, key: list[str]) -> DataFrame:
     return joined.where(gap | ((F.size("k") >= most) & F.coalesce("went_on", F.lit(False)))).select(*key, "part", F.array_join(F.transform("k", lambda x: x.cast("string")), ",").alias("numbers"))
 
 
+def next_in_queue(queued: DataFrame, used: DataFrame, key: list[str], ref: str, ordinal: str) -> DataFrame:
+    """key, ref: of each queue the first entry in order that isn't used yet; an emptied queue has no row."""
+    left = queued.join(used.select(*key, ref).distinct(), [*key, ref], "left_anti")
+    return left.groupBy(*key).agg(F.min_by(ref, ordinal).alias(ref))
+
+
 def unequal(left: DataFrame, right: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """key, column_name: where two documents of one key differ in a value they share (nulls equal each other)."""
     l = left.select(*key, *(F.col(c).alias(f"__l{i}") for i, c in enumerate(columns)))  # noqa: E741

@@ -6,11 +6,14 @@ counted before the limit. No match is an empty page with total 0; contradicting
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import levels, text
+from ..runtime import materialise
 
 CATEGORIES = ("core_inventory_1", "core_inventory_2", "threshold")
 MAX_PAGE = 200
@@ -20,6 +23,31 @@ class InputError(ValueError):
     """Options that contradict each other or are out of range."""
 
 
+def one_of(name: str, value: str | None, allowed: tuple[str, ...]) -> str | None:
+    """An option's value, if it is one of those there are."""
+    if value is not None and value not in allowed:
+        raise InputError(f"{name} must be one of {', '.join(allowed)}")
+    return value
+
+
+def exclusive(**options) -> None:
+    """Refuses options given together of which only one may be; a tuple stands for options that go together."""
+    given = [n for n, v in options.items() if (any(x is not None for x in v) if isinstance(v, tuple) else v is not None)]
+    if len(given) > 1:
+        raise InputError(f"{' and '.join(given)} can't be combined")
+
+
+# Fixed value: what the id of a grammar item looks like.
+ITEM_ID = "gp:[0-9]+(-[0-9]+)?"
+
+
+def by_id(items: DataFrame, item_id: str, pattern: str = ITEM_ID) -> DataFrame:
+    """The row of an id; an id that doesn't look like one is refused before any job starts."""
+    if not isinstance(item_id, str) or not re.fullmatch(pattern, item_id):
+        raise InputError(f"no id: {item_id!r}")
+    return items.where(F.col("id") == item_id)
+
+
 def _limit(limit: int) -> int:
     if isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= MAX_PAGE:
         raise InputError(f"limit must be 1 to {MAX_PAGE}")
@@ -31,9 +59,23 @@ def in_order(entries: DataFrame) -> list[Column]:
     return [text.folded_key("headword"), F.col("headword"), F.col("pos"), F.col("id")]
 
 
-def with_ordinal(entries: DataFrame) -> DataFrame:
-    """entries with ordinal, their place in the vocabulary's order. For tables of fixed size: the whole order is one task's."""
-    return entries.withColumn("ordinal", F.row_number().over(W.orderBy(*in_order(entries))))
+def with_ordinal(entries: DataFrame, order: list[Column] | None = None, name: str = "ordinal") -> DataFrame:
+    """entries with their place from 1 in an order (by default the vocabulary's), which has to be a total one."""
+    return numbered(entries, order or in_order(entries), name)
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with a running number from 1 in the given order, at any size: range partitions are sorted and counted, and each
+    one's rows are numbered from where those before it end."""
+    fields = rows.columns
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    # the number's high bits name the partition; the range bounds are drawn from a sample, so the parts are fixed before they are counted
+    placed = materialise(placed, "numbered").withColumn("__part", F.shiftright("__at", 33))
+    # one row per partition
+    ends = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = ends.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    place = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(F.broadcast(before), "__part").select(*fields, place.alias(name))
 
 
 def in_category(category: str) -> Column:
@@ -113,17 +155,19 @@ def relaxed_pools(targets: DataFrame, entries: DataFrame, k: int, *, least: int
     return both.withColumn("rank", rank).where(F.col("rank") <= k).select("target_id", "id", "relaxed", "rank")
 
 
-def grammar_at(items: DataFrame, level: str, *, keyword: str | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """Target-eligible grammar items whose range contains a fine level; a keyword in either name; none of the excluded parents.
-
-    A null parent is never excluded.
-    """
-    found = items.where(F.col("target_eligible") & levels.contains_rank(levels.fine_rank(F.lit(level)), levels.fine_rank("level.min"), levels.fine_rank("level.max")))
+def grammar_at(items: DataFrame, level: str | None = None, *, keyword: str | None = None, exclude: list[str] | None = None, column: str = "parent_id") -> DataFrame:
+    """Target-eligible grammar items whose range contains a fine level; a keyword in the name or the simple name, in any case; none of
+    the excluded values of a column (parents, kinds of sentence). A null value is never excluded."""
+    found = items
+    if level is not None:
+        one_of("level", level, levels.FINE)
+        found = found.where(F.col("target_eligible") & levels.contains_rank(levels.fine_rank(F.lit(level)), levels.fine_rank("level.min"), levels.fine_rank("level.max")))
     if keyword is not None:
-        either = [F.coalesce(F.contains(F.col(c), F.lit(keyword)), F.lit(False)) for c in ("item_list.name_ja", "item_list.grammatical_item_en")]
+        key = text.folded_key(F.lit(keyword))
+        either = [F.coalesce(F.contains(text.folded_key(c), key), F.lit(False)) for c in ("item_list.name_ja", "kyoinban.name_simple_ja")]
         found = found.where(either[0] | either[1])
     if exclude:
-        found = found.where(~F.coalesce(F.col("parent_id").isin(*exclude), F.lit(False)))
+        found = found.where(~F.coalesce(F.col(column).isin(*exclude), F.lit(False)))
     return found
 
 
@@ -133,11 +177,16 @@ def containing(points: DataFrame, rank: str, ranges: DataFrame, low: str, high:
     return points.join(steps, F.col(rank) == F.col("__step")).drop("__step")
 
 
-def resolve(requests: DataFrame, entries: DataFrame) -> DataFrame:
-    """Each request (n, typed, level, pos or null) with status and the matching entry.
+def resolve(requests: DataFrame, entries: DataFrame, formats: list[str] | None = None) -> DataFrame:
+    """Each request (n, typed, level, pos or null; with formats also format) with status and the matching entry.
 
-    match (exactly one), level_mismatch, not_in_dictionary, or ambiguous_pos; the request is read as typed text.
+    match (exactly one), level_mismatch, not_in_dictionary, or ambiguous_pos; the request is read as typed text. Of formats outside those
+    given every request is format_not_allowed.
     """
+    if formats is not None:
+        barred = requests.where(~F.coalesce(F.col("format").isin(*formats), F.lit(False)))
+        barred = barred.select("n", "typed", F.lit("format_not_allowed").alias("status"), F.lit(None).cast("string").alias("entry_id"))
+        return resolve(requests.where(F.col("format").isin(*formats)), entries).unionByName(barred)
     r = requests.withColumn("key", text.folded_key(text.half_width("typed")))
     e = entries.select(text.folded_key("headword").alias("key"), F.col("id").alias("entry_id"), F.col("level").alias("entry_level"), F.col("pos").alias("entry_pos"))
     both = r.join(e, "key", "left")

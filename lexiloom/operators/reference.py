@@ -129,8 +129,34 @@ def expectation_problems(measures: DataFrame, expected: dict[str, int]) -> DataF
 
 
 def first_of_group(rows: DataFrame, group: str, place: str) -> DataFrame:
-    """rows with first_at: where their group begins."""
-    return rows.withColumn("first_at", F.min(place).over(W.partitionBy(group)))
+    """rows with first_at: where their group begins. The minimum is taken before the shuffle, so a hot group stays in the tasks that have it."""
+    first = rows.groupBy(F.col(group).alias("__group")).agg(F.min(place).alias("first_at"))
+    first = F.broadcast(first) if bounded(first) else first
+    return rows.join(first, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
+
+
+def bounded(rows: DataFrame, most: int = 200_000) -> bool:
+    """Whether a table is small enough to be sent to every task: its rows are counted, up to the bound."""
+    return rows.limit(most + 1).count() <= most
+
+
+def with_corpus(items: DataFrame, statistics: DataFrame, columns: list[str]) -> DataFrame:
+    """items with a corpus's figures per id; null where the corpus has none."""
+    return items.join(statistics.select("id", *columns), "id", "left")
+
+
+def first_problems(problems: DataFrame, place: list[str], order: list[str], most: int) -> DataFrame:
+    """problems with n_at (1 to most) and n_total: of each place the first ones in order, repeated ones once, and how many there are."""
+    own = problems.select(*place, *order).distinct()
+    total = own.groupBy(*place).agg(F.count(F.lit(1)).alias("n_total"))
+    first = own.withColumn("n_at", F.row_number().over(W.partitionBy(*place).orderBy(*order))).where(F.col("n_at") <= most)
+    return first.join(total, place)
+
+
+def health_table(checks: dict[str, DataFrame]) -> DataFrame:
+    """name, n_problems, passed of every problem table, in one plan."""
+    one = [c.agg(F.count(F.lit(1)).alias("n_problems")).select(F.lit(name).alias("name"), "n_problems") for name, c in checks.items()]
+    return reduce(DataFrame.unionByName, one).withColumn("passed", F.col("n_problems") == 0)
 
 
 def health(checks: dict[str, DataFrame | bool]) -> list[dict]:

@@ -117,11 +117,10 @@ def range_contains(spark, d):
 
 @query(f"""
 select id, display_name from grammar where target_eligible and {_RANK.format("'A2.2'")} between {_RANK.format('level.min')} and {_RANK.format('level.max')}
-  and (coalesce(contains(item_list.name_ja, '受動態'), false) or coalesce(contains(item_list.grammatical_item_en, 'verb'), false)) and not coalesce(parent_id in ('gp:22', 'gp:1'), false)""")
+  and (coalesce(contains(lower(item_list.name_ja), '受動態'), false) or coalesce(contains(lower(kyoinban.name_simple_ja), '受動態'), false)) and not coalesce(item_list.sentence_type_ja in ('否定平叙文', '肯定疑問文'), false)""")
 def keyword_nullsafe_exclude(spark, d):
-    found = lookup.grammar_at(table(spark, d, "grammar"), "A2.2", exclude=["gp:22", "gp:1"])
-    either = F.coalesce(F.contains("item_list.name_ja", F.lit("受動態")), F.lit(False)) | F.coalesce(F.contains("item_list.grammatical_item_en", F.lit("verb")), F.lit(False))
-    return found.where(either).select("id", "display_name")
+    found = lookup.grammar_at(table(spark, d, "grammar"), "A2.2", keyword="受動態", exclude=["否定平叙文", "肯定疑問文"], column="item_list.sentence_type_ja")
+    return found.select("id", "display_name")
 
 
 # --- building the reference tables ------------------------------------------------------------------------------------------
@@ -565,7 +564,7 @@ _TEXT = {"type": "string", "min_length": 1}
 _QUESTION_RULE = {
     "type": "object", "required": ["question_id", "level", "target", "body"],
     "properties": {
-        "question_id": {"type": "string", "pattern": "^q(0[1-9]|1[0-9]|20)$"}, "format": _TEXT,
+        "question_id": {"type": "string", "pattern": r"^q(0[1-9]|1[0-9]|20)\Z"}, "format": _TEXT,
         "level": {"type": "object", "required": ["scale", "value"], "properties": {"scale": {"enum": ["cefr", "cefrj"]}, "value": _TEXT}},
         "target": {"type": "object", "required": ["type", "ref"], "properties": {"type": _TEXT, "ref": _TEXT, "display_name": _TEXT}},
         "body": {"type": "object"}, "provenance": {"type": ["object", "null"]},
@@ -574,7 +573,7 @@ _QUESTION_RULE = {
 SET_RULE = {
     "type": "object", "required": ["schema_version", "set_id", "format", "questions"],
     "properties": {
-        "schema_version": {"type": "string", "pattern": "^1\\."}, "set_id": {"type": "string", "pattern": "^[0-9]{8}-[0-9]{6}-[0-9a-f]{4}$"}, "created_at": _TEXT, "format": {"const": "vocab_mcq_en2ja"},
+        "schema_version": {"type": "string", "pattern": "^1\\."}, "set_id": {"type": "string", "pattern": r"^[0-9]{8}-[0-9]{6}-[a-z0-9]{4}\Z"}, "created_at": _TEXT, "format": {"const": "vocab_mcq_en2ja"},
         "level": {"type": "object"}, "mode": {"enum": ["explicit", "proposal"]}, "requested_count": {"type": "integer", "minimum": 1, "maximum": 20}, "topic": {"type": ["string", "null"]},
         "questions": {"type": "array", "min_items": 1, "max_items": 20, "items": _QUESTION_RULE},
     },
@@ -596,9 +595,12 @@ def canonical_json(spark, d):
 # --- matching and streams ---------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("""
+with a as (select set_id, level.value as v, rec_id, row_number() over (partition by set_id, level.value order by rec_id) as n from grammar_mcq where level.value is not null),
+b as (select set_id, level.value as v, rec_id, row_number() over (partition by set_id, level.value order by rec_id) as n from grammar_rewrite where level.value is not null)
+select coalesce(a.set_id, b.set_id) as set_id, a.rec_id as left_id, b.rec_id as right_id from a full join b on a.set_id = b.set_id and a.v = b.v and a.n = b.n""")
 def match_questions(spark, d):
-    """One-to-one matches of rewrite questions with choice questions of the same set and level; tested against brute force."""
+    """One-to-one matches of rewrite questions with choice questions of the same set and level: the n-th of each, as a row has one level."""
     left = table(spark, d, "grammar_mcq").select("set_id", F.col("level.value").alias("v"), F.col("rec_id").alias("left_id")).where("v is not null")
     right = table(spark, d, "grammar_rewrite").select("set_id", F.col("level.value").alias("v"), F.col("rec_id").alias("right_id")).where("v is not null")
     return matching.match(left, right, "set_id", ["v"])

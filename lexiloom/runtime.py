@@ -86,6 +86,13 @@ def discard(spark: SparkSession) -> int:
     return len(own)
 
 
+def fresh_place(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, dropped by ``discard`` like a materialised table."""
+    where = f"{shared_folder(spark)}/lexiloom/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(where)
+    return where
+
+
 def materialise(df: DataFrame, label: str, *, mode: str = "errorifexists") -> DataFrame:
     """Write ``df`` as a table of the shared folder and read it back.
 
@@ -93,9 +100,8 @@ def materialise(df: DataFrame, label: str, *, mode: str = "errorifexists") -> Da
     name is new each time; ``discard`` drops the run's tables once its results are read.
     """
     spark = df.sparkSession
-    where = f"{shared_folder(spark)}/lexiloom/{label}-{uuid.uuid4().hex}"
+    where = fresh_place(spark, label)
     df.write.mode(mode).option("compression", "zstd").parquet(where)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(where)
     return spark.read.schema(df.schema).parquet(where)
 
 
