@@ -403,23 +403,24 @@ def replaced_together(spark, d):
 
 
 @query("""
-with j as (select id as entry_id, group_ids, pos, level from lexicon where len(group_ids) > 0), m as (select unnest(group_ids) as group_id, entry_id, pos, level from j),
-r as (select *, row_number() over (partition by group_id order by entry_id) - 1 as position, hash_no from (select *, (ascii(substr(group_id, 5, 1)) % 5) as hash_no from m)),
-p as (select group_id, case when hash_no = 1 and position > 0 then position + 1 else position end as position, case when hash_no = 2 and position = 1 then null else entry_id end as entry_id, case when hash_no = 2 and position = 1 then null else pos end as pos,
-  case when hash_no = 2 and position = 1 then null when hash_no = 3 and position = 0 then 'C9' else level end as level from r where not (hash_no = 4 and position > 0)
-  union all select group_id, max(position) + 1, min(entry_id), min(pos), min(level) from r where hash_no = 0 group by 1)
+with e as (select id, pos, level, row_number() over (partition by pos, level order by id) - 1 as n from lexicon),
+r as (select pos || ':' || level || ':' || (n // 3) as group_id, n % 3 as position, (n // 3) % 7 as no, id as entry_id, pos, level from e),
+p as (select group_id, case when no = 1 and position > 0 then position + 1 else position end as position, case when no = 2 and position = 1 then null else entry_id end as entry_id, case when no = 2 and position = 1 then null when no = 5 and position = 0 then 'x' else pos end as pos,
+  case when no = 2 and position = 1 then null when no = 3 and position = 0 then 'C9' else level end as level from r where not (no = 4 and position > 0)
+  union all select group_id, max(position) + 1, min(entry_id), min(pos), min(level) from r where no = 0 group by 1)
 select group_id, kind_order::int as kind_order, kind from (select group_id, count(*) as n, count(*) filter (where pos is null) as n_missing, count(distinct entry_id) as n_ids, count(distinct pos) as n_pos, count(distinct level) as n_levels, max(position) as last from p group by 1),
   lateral (select unnest([1, 2, 3, 4, 5, 6]) as kind_order, unnest(['too_few', 'missing_member', 'repeated_member', 'mixed_pos', 'mixed_level', 'position_gap']) as kind, unnest([n < 2, n_missing > 0, n_ids < n, n_pos > 1, n_levels > 1, last + 1 <> n]) as broken) where broken""")
 def group_faults(spark, d):
-    """Variant groups with planted faults of all six kinds: by the group's first letter a member is gone, missing, repeated, misplaced or of another level."""
-    m = table(spark, d, "lexicon").select(F.explode("group_ids").alias("group_id"), F.col("id").alias("entry_id"), F.col("pos").alias("entry_pos"), F.col("level").alias("entry_level"))
-    place = F.row_number().over(attempts.W.partitionBy("group_id").orderBy("entry_id")) - 1
-    r = m.withColumn("position", place).withColumn("no", F.ascii(F.substring("group_id", 5, 1)) % 5)
+    """Groups of three entries with planted faults of all six kinds, by the group's number: a member is repeated, misplaced, missing, gone or unlike the others."""
+    place = F.row_number().over(attempts.W.partitionBy("pos", "level").orderBy("id")) - 1
+    e = table(spark, d, "lexicon").select("id", "pos", "level", place.alias("n"))
+    third = F.floor(F.col("n") / 3)
+    r = e.select(F.concat_ws(":", "pos", "level", third.cast("string")).alias("group_id"), (F.col("n") % 3).alias("position"), (third % 7).alias("no"), F.col("id").alias("entry_id"), F.col("pos").alias("entry_pos"), F.col("level").alias("entry_level"))
     no, at = F.col("no"), F.col("position")
     gone = (no == 2) & (at == 1)
     own = r.where(~((no == 4) & (at > 0))).select(
-        "group_id", F.when((no == 1) & (at > 0), at + 1).otherwise(at).alias("position"), F.when(~gone, F.col("entry_id")).alias("entry_id"), F.when(~gone, F.col("entry_pos")).alias("entry_pos"),
-        F.when(gone, None).when((no == 3) & (at == 0), "C9").otherwise(F.col("entry_level")).alias("entry_level"),
+        "group_id", F.when((no == 1) & (at > 0), at + 1).otherwise(at).alias("position"), F.when(~gone, F.col("entry_id")).alias("entry_id"),
+        F.when(gone, None).when((no == 5) & (at == 0), "x").otherwise(F.col("entry_pos")).alias("entry_pos"), F.when(gone, None).when((no == 3) & (at == 0), "C9").otherwise(F.col("entry_level")).alias("entry_level"),
     )
     again = r.where(no == 0).groupBy("group_id").agg((F.max("position") + 1).alias("position"), F.min("entry_id").alias("entry_id"), F.min("entry_pos").alias("entry_pos"), F.min("entry_level").alias("entry_level"))
     return reference.group_problems(own.unionByName(again))
