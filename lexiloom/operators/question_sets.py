@@ -27,8 +27,8 @@ def found(e: shred.Entities) -> DataFrame:
     question = e.questions.where(F.trim(F.col("format")) == FORMAT).select("src", "doc", F.col("node").alias("up_question"), "set_id", "question_id")
     return (
         e.choices.where("has_text")
-        .join(question, ["src", "doc", "up_question"])
-        .join(e.reviews.select("src", "doc", "up_question", "review_ref"), ["src", "doc", "up_question"], "left")
+        .join(question, ["doc", "up_question", "src"])
+        .join(e.reviews.select("src", "doc", "up_question", "review_ref"), ["doc", "up_question", "src"], "left")
         .select("src", "rec_id", "set_id", "question_id", F.col("choice_no").cast("int").alias("choice_no"), F.coalesce("review_ref", F.lit("")).alias("review_ref"))
     )
 
@@ -41,7 +41,7 @@ def p1_sets(spark: SparkSession, folder: str) -> DataFrame:
     """Sets with their number of questions."""
     e = flat_tables(spark, folder)
     n = e.questions.groupBy("src", "doc", F.col("up_set").alias("node")).agg(F.count(F.lit(1)).alias("n_questions"))
-    return e.sets.join(n, ["src", "doc", "node"], "left").select("src", "rec_id", F.col("node").alias("set_node"), "set_id", "format", F.coalesce("n_questions", F.lit(0)).alias("n_questions"))
+    return e.sets.join(n, ["doc", "node", "src"], "left").select("src", "rec_id", F.col("node").alias("set_node"), "set_id", "format", F.coalesce("n_questions", F.lit(0)).alias("n_questions"))
 
 
 def p1_questions(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,6 +16,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,39 +61,65 @@ def _held(value):
     return value
 
 
-def node_rows(text: str | None) -> list[tuple]:
-    """(node, parent, owner, label, ordinal, kind, scalar) of one JSON text, in document order.
+# Kinds of values, by the numbers that stand for them while a batch is built.
+_KINDS = pa.array(["object", "array", "null", "boolean", "number", "string"])
+_OBJECT, _ARRAY, _NULL, _BOOLEAN, _NUMBER, _STRING = range(6)
 
-    parent is the enclosing value, owner the enclosing object; an array's items carry its label and count from 0;
-    an object's members count in ascending order of their names.
-    """
-    if text is None:
-        return []
+
+def _walk(text: str, parents: list, owners: list, labels: list, ordinals: list, kinds: list, scalars: list) -> int:
+    """Append one JSON text's nodes, in document order, and return their number; node n is the n-th appended."""
     try:
-        stack = [(strict_json(text), -1, -1, None, None)]
+        value = strict_json(text)
     except ValueError:
-        return []
-    rows: list[tuple] = []
+        return 0
+    n, stack = 0, [(value, -1, -1, None, None)]
+    pop, push = stack.pop, stack.append
     while stack:
-        value, parent, owner, label, ordinal = stack.pop()
-        value = _held(value)
-        node, scalar = len(rows), None
-        if isinstance(value, dict):
-            kind = "object"
-            for i, name in reversed(list(enumerate(sorted(value)))):
-                stack.append((value[name], node, node, name, i))
-        elif isinstance(value, list):
-            kind = "array"
+        value, parent, owner, label, ordinal = pop()
+        scalar, own = None, type(value)
+        if own is str:
+            first = value[:1]
+            if first and (first in '{["' or first.isspace()):
+                value = _held(value)
+                own = type(value)
+        if own is str:
+            kind, scalar = _STRING, value
+        elif own is dict:
+            kind = _OBJECT
+            if value:
+                names = sorted(value)
+                for i in range(len(names) - 1, -1, -1):
+                    push((value[names[i]], n, n, names[i], i))
+        elif own is list:
+            kind = _ARRAY
             for i in range(len(value) - 1, -1, -1):
-                stack.append((value[i], node, owner, label, i))
-        elif value is None:
-            kind = "null"
-        elif isinstance(value, bool):
-            kind, scalar = "boolean", "true" if value else "false"
+                push((value[i], n, owner, label, i))
+        elif own is _Number:
+            kind, scalar = _NUMBER, str(value)
+        elif own is bool:
+            kind, scalar = _BOOLEAN, "true" if value else "false"
         else:
-            kind, scalar = ("number" if isinstance(value, _Number) else "string"), str(value)
-        rows.append((node, parent, owner, label, ordinal, kind, scalar))
-    return rows
+            kind = _NULL
+        parents.append(parent)
+        owners.append(owner)
+        labels.append(label)
+        ordinals.append(ordinal)
+        kinds.append(kind)
+        scalars.append(scalar)
+        n += 1
+    return n
+
+
+def node_rows(text: str | None) -> list[tuple]:
+    """(node, parent, owner, label, ordinal, kind, scalar) of one JSON text, in document order.
+
+    parent is the enclosing value, owner the enclosing object; an array's items carry its label and count from 0;
+    an object's members count in ascending order of their names.
+    """
+    columns: list[list] = [[] for _ in range(6)]
+    n = 0 if text is None else _walk(text, *columns)
+    columns[4] = [_KINDS[k].as_py() for k in columns[4]]
+    return list(zip(range(n), *columns))
 
 
 def _sound(text: str | None) -> str | None:
@@ -100,33 +127,39 @@ def _sound(text: str | None) -> str | None:
     return None if text is None else text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
+def _strings(values: list) -> pa.Array:
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([_sound(v) for v in values], pa.string())
+
+
+#: Nodes from which on a batch is handed over.
+_BATCH = 100_000
+
+
 def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns: list[list] = [[] for _ in _ARROW]
-        src, rec, doc, text = (batch.column(i).to_pylist() for i in range(4))
-        for s, r, d, t in zip(src, rec, doc, text):
-            rows = node_rows(t)
-            n = len(rows)
-            if not n:
-                continue
-            for c, v in zip(columns, (s, r, d)):
-                c.extend([v] * n)
-            for c, v in zip(columns[3:], zip(*rows)):
-                c.extend(v)
-            if len(columns[0]) > 200_000:
-                yield _batch(columns)
-                columns = [[] for _ in _ARROW]
-        if columns[0]:
-            yield _batch(columns)
-
-
-def _batch(columns: list[list]) -> pa.RecordBatch:
-    arrays = []
-    for field, values in zip(_ARROW, columns):
-        try:
-            arrays.append(pa.array(values, field.type))
-        except UnicodeEncodeError:
-            arrays.append(pa.array([_sound(v) for v in values], field.type))
+        start, done, counts = 0, 0, []
+        columns: list[list] = [[] for _ in range(6)]
+        texts = batch.column(3).to_pylist()
+        for i, text in enumerate(texts):
+            counts.append(_walk(text, *columns))
+            done += counts[-1]
+            if done and (done >= _BATCH or i + 1 == len(texts)):
+                yield _batch(batch.slice(start, i + 1 - start), counts, columns)
+                start, done, counts = i + 1, 0, []
+                columns = [[] for _ in range(6)]
+
+
+def _batch(documents: pa.RecordBatch, counts: list[int], columns: list[list]) -> pa.RecordBatch:
+    """The nodes of some documents: each document's own columns repeated for its nodes, which are numbered from 0."""
+    sizes = np.array(counts)
+    at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+    node = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
+    parents, owners, labels, ordinals, kinds, scalars = columns
+    arrays = [documents.column(c).take(at) for c in range(3)]
+    arrays += [pa.array(node), pa.array(np.array(parents, np.int32)), pa.array(np.array(owners, np.int32)), _strings(labels), pa.array(ordinals, pa.int32()), _KINDS.take(pa.array(np.array(kinds, np.int8))), _strings(scalars)]
     return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
 
 
@@ -138,7 +171,14 @@ def nodes(df: DataFrame, src: str, rec_id: str, text: Column) -> DataFrame:
 
 
 _KEY = ["src", "doc"]
-_MEMBERS = ("set_id", "question_id", "format", "text", "review_ref", "gloss", "is_correct", "stem", "generation")
+
+
+def _by(*members: str) -> list[str]:
+    """Key columns with the document's number first, which tells rows apart where they are sorted; src only does between sources."""
+    return ["doc", *members, "src"]
+
+
+_MEMBERS = ("set_id", "question_id", "format", "text", "review_ref", "gloss", "is_correct")
 _PARTS = ("questions", "question_id", "body", "text", "choices")
 
 
@@ -146,7 +186,7 @@ def objects(table: DataFrame) -> DataFrame:
     """Object nodes joined with their scalar children, which become columns; has_* tells which parts an object has."""
     children = table.where((F.col("parent") == F.col("owner")) & F.col("label").isin(*_MEMBERS, *_PARTS))
     scalar = F.col("kind").isin("string", "number", "boolean")
-    wide = children.groupBy(*_KEY, F.col("owner").alias("node")).agg(
+    wide = children.groupBy("doc", F.col("owner").alias("node"), "src").agg(
         *(F.max(F.when((F.col("label") == m) & scalar, F.col("scalar"))).alias(m) for m in _MEMBERS),
         # a member that isn't null, be it a scalar or a whole structure
         *(F.coalesce(F.max((F.col("label") == p) & (F.col("kind") != "null")), F.lit(False)).alias(f"has_{p}") for p in _PARTS),
@@ -154,7 +194,7 @@ def objects(table: DataFrame) -> DataFrame:
     own = table.where(F.col("kind") == "object").select(
         *_KEY, "rec_id", "node", "owner", "label", "ordinal", (F.col("parent") != F.col("owner")).alias("in_list")
     )
-    return own.join(wide, [*_KEY, "node"], "left")
+    return own.join(wide, _by("node"), "left")
 
 
 @dataclass
@@ -185,14 +225,14 @@ def entities(table: DataFrame, *, keep: bool = True) -> Entities:
     held = objs.where(direct).select(*_KEY, "node", "rec_id", "question_id", "format", F.col("owner").alias("up_set"))
     named = (
         objs.where(~F.coalesce(direct, F.lit(False)))
-        .join(up("q"), [*_KEY, "owner"])
+        .join(up("q"), _by("owner"))
         .where((F.col("q_label") == "questions") & ~F.col("q_in_list") & ~F.col("q_has_question_id") & ~F.col("q_has_body"))
         .select(*_KEY, "node", "rec_id", "question_id", "format", F.col("q_owner").alias("up_set"))
     )
     of_set = sets.select(*_KEY, F.col("node").alias("up_set"), F.col("set_id"), F.col("format").alias("set_format"))
     questions = (
         held.unionByName(named)
-        .join(of_set, [*_KEY, "up_set"])
+        .join(of_set, _by("up_set"))
         .select(*_KEY, "node", "up_set", "rec_id", "set_id", "question_id", F.coalesce("format", "set_format").alias("format"))
     )
 
@@ -201,15 +241,15 @@ def entities(table: DataFrame, *, keep: bool = True) -> Entities:
     listed = objs.where(of_choices & F.col("in_list")).select(*_KEY, "node", "rec_id", "text", "has_text", "gloss", "is_correct", F.col("ordinal").alias("choice_no"), F.col("owner").alias("up_body"))
     single = objs.where(of_choices & ~F.col("in_list") & has["text"]).select(*_KEY, "node", "rec_id", "text", "has_text", "gloss", "is_correct", F.lit(0).alias("choice_no"), F.col("owner").alias("up_body"))
     keyed = (
-        objs.join(up("c"), [*_KEY, "owner"])
+        objs.join(up("c"), _by("owner"))
         .where((F.col("c_label") == "choices") & ~F.col("c_in_list") & ~F.col("c_has_text"))
         .select(*_KEY, "node", "rec_id", "text", "has_text", "gloss", "is_correct", F.col("ordinal").alias("choice_no"), F.col("c_owner").alias("up_body"))
     )
     bodies = objs.where(F.col("label") == "body").select(*_KEY, F.col("node").alias("up_body"), F.col("owner").alias("up_question"))
-    choices = listed.unionByName(single).unionByName(keyed).join(bodies, [*_KEY, "up_body"])
+    choices = listed.unionByName(single).unionByName(keyed).join(bodies, _by("up_body"))
     reviews = (
         objs.where((F.col("label") == "provenance") & F.col("review_ref").isNotNull())
-        .groupBy(*_KEY, F.col("owner").alias("up_question"))
+        .groupBy("doc", F.col("owner").alias("up_question"), "src")
         .agg(F.min("node").alias("node"), F.min("rec_id").alias("rec_id"), F.min("review_ref").alias("review_ref"))
     )
     return Entities(sets, questions, choices, reviews)
