@@ -32,10 +32,14 @@ def _drawn(spark: SparkSession, folder: str) -> list[tuple]:
     signed, targets, others, size = _prepared(spark, folder)
     take, aim = mixture.allocate(targets, others, size, SEED), mixture.apportion(targets, size)
     sample = mixture.draw(signed, take, F.struct(*records.KEY), SEED)
-    n = {r["sig"]: r["n"] for r in sample.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if [n.get(i, 0) for i in range(len(take))] != take:
+    # each row of the pool, marked by whether it was drawn: a category falls short if all that was drawn and all that was left don't make up what it needs
+    own = sample.select(*(F.col(k).alias(f"own_{k}") for k in records.KEY), F.lit(True).alias("drawn"))
+    marked = signed.select("sig", *records.KEY).join(own, [F.col(k).eqNullSafe(F.col(f"own_{k}")) for k in records.KEY], "left")
+    seen = marked.groupBy("sig").agg(F.count_if("drawn").alias("n_drawn"), F.count_if(F.col("drawn").isNull()).alias("n_left"))
+    n = {r["sig"]: (r["n_drawn"], r["n_left"]) for r in seen.collect()}
+    if [n.get(i, (0, 0))[0] for i in range(len(take))] != take:
         raise ValueError("the rows drawn aren't the rows allocated")
-    return [(*t.category, t.available, a, n.get(i, 0), max(0, t.wanted(size) - t.available)) for i, (t, a) in enumerate(zip(targets, aim))]
+    return [(*t.category, sum(n.get(i, (0, 0))), a, n.get(i, (0, 0))[0], max(0, t.wanted(size) - sum(n.get(i, (0, 0))))) for i, (t, a) in enumerate(zip(targets, aim))]
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

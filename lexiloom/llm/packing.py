@@ -1,10 +1,12 @@
 """Documents as training sequences of a fixed number of tokens, by bin completion.
 
 A document longer than the capacity is divided into full pieces and a rest; everything else stays whole. The items are spread by a hash
-over shards of about SHARD items, so no task's size grows with the data. Within a shard, bins are completed one after another
+over shards of about SHARD items, so no search's size grows with the data; a task packs one shard after another, so their
+number doesn't grow without bound either. Within a shard, bins are completed one after another
 around the largest item left: fillings are enumerated largest items first, dominated ones are dropped, and the search backtracks
 while the bound (bins so far and what the rest needs at least) beats the incumbent, which best-fit decreasing provides. Items of
-bins that stay emptier than OPEN of their capacity are packed again, all shards' together, in smaller rounds.
+bins that stay emptier than OPEN of their capacity are packed again, all shards' together, in smaller rounds. A round is the last
+if it has one shard, or if it leaves more than RETRY of its items in such bins: their sizes hardly combine, and its bins stand as they are.
 
 Defined results: null and empty texts have no tokens and are in no sequence; repeated rows are separate items; sizes equal to
 the capacity fill a bin alone; a text that the tokenizer's pattern can't run over as a whole is tokenized in
@@ -25,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise, public_vocabulary
+from ..runtime import materialise, public_vocabulary, slots
 
 CAPACITY = 4096
 SHARD = 8192
 OPEN = 0.002
+RETRY = 0.5
+#: Tasks of a round for each slot of the cluster; beyond it a task packs several shards.
+TASKS_A_SLOT = 32
 #: Fillings tried for a bin at most, steps to find these, and steps of a shard's whole search, after which its incumbent stands.
 WIDTH, STEPS, WORK = 4, 3000, 400_000
 #: With at most so many items left, the sharper bound is taken and states that led nowhere are remembered.
@@ -280,12 +285,12 @@ def sequences(counted: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     number = F.concat_ws("-", F.lit("0"), "doc_id", "piece", F.monotonically_increasing_id())
     out = [full.select(number.alias("sequence"), F.lit(0).cast("long").alias("offset"), *_ITEM)]
     todo, turn = items.where(F.col("n_tokens") < capacity), 1
+    n = todo.count()
     while True:
-        n = todo.count()
         shards = max(1, -(-n // SHARD))
         keyed = todo.select(*_ITEM, F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(shards)).alias("shard"))
-        # as many tasks as shards: merged by their few bytes, all shards would be packed by one task
-        keyed = keyed.repartition(shards, "shard")
+        # so many tasks are asked for: merged by their few bytes, all shards would be packed by one
+        keyed = keyed.repartition(min(shards, TASKS_A_SLOT * slots(counted.sparkSession)), "shard")
         packed = materialise(keyed.groupBy("shard").applyInPandas(_pack_shard(capacity), _PACKED), "packed")
         named = F.concat_ws("-", F.lit(str(turn)), "shard", "bin")
         done = packed if shards == 1 else packed.where(F.col("fill") >= (1 - OPEN) * capacity)
@@ -293,10 +298,11 @@ def sequences(counted: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         if shards == 1:
             break
         rest = packed.where(F.col("fill") < (1 - OPEN) * capacity).select(*_ITEM)
-        if rest.count() > 0.5 * n:  # sizes that hardly combine: another round would not help
+        left = rest.count()
+        if left > RETRY * n:
             out[-1] = packed.select(named.alias("sequence"), "offset", *_ITEM)
             break
-        todo, turn = rest, turn + 1
+        todo, n, turn = rest, left, turn + 1
     result = out[0]
     for other in out[1:]:
         result = result.unionByName(other)
