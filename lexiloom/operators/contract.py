@@ -1,8 +1,8 @@
 """Closed contracts for JSON texts: a rule tree, checked batch by batch, one problem row per broken rule.
 
 A rule is a dict; its members are the common assertions: type, required, properties (nothing else is allowed unless open is true), items,
-pattern, enum, const, min_length, max_length, minimum, maximum, min_items, max_items, unique, contains, and one_of with a
-discriminator: {"tag": "format", "one_of": {"a": rule, ...}} checks only the branch the tag names, so errors come from it alone.
+pattern, enum, const, min_length, max_length, minimum, maximum, min_items, max_items, unique, contains (how many items may fit:
+min_contains, by default one, and max_contains), and one_of with a discriminator: {"tag": "format", "one_of": {"a": rule, ...}} checks only the branch the tag names, so errors come from it alone.
 Numbers are compared exactly as written; booleans aren't numbers; lengths are code points of the composed text.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 
 import pyarrow as pa
@@ -84,8 +84,10 @@ def problems(v, rule: dict, at: str = "") -> list[Problem]:
             say("max_items")
         if rule.get("unique") and len({write_canonical(x) for x in v}) < len(v):
             say("unique")
-        if "contains" in rule and all(problems(x, rule["contains"]) for x in v):
-            say("contains")
+        if "contains" in rule:
+            fitting = sum(not problems(x, rule["contains"]) for x in v)
+            if not rule.get("min_contains", 1) <= fitting <= rule.get("max_contains", len(v)):
+                say("contains")
         if "items" in rule:
             for i, x in enumerate(v):
                 out += problems(x, rule["items"], _step(at, i))
@@ -103,8 +105,9 @@ def problems(v, rule: dict, at: str = "") -> list[Problem]:
     return out
 
 
-def violations(df: DataFrame, key: str, json: str, rule: dict, *, first: int | None = None) -> DataFrame:
-    """key, pointer, problem, n_total: of every text; 'json' at the root where it isn't strict JSON. ``first`` bounds the rows a text reports, not n_total."""
+def violations(df: DataFrame, key: str, json: str, rule: dict, *, more: Callable[[object], list[Problem]] | None = None, first: int | None = None) -> DataFrame:
+    """key, pointer, problem, n_total: of every text; 'json' at the root where it isn't strict JSON. ``more`` adds what a tree can't
+    say, for values that fit the tree. ``first`` bounds the rows a text reports, not n_total."""
     kind = dict(df.dtypes)[key]
     out_type = df.select(key).schema[0].dataType
     from pyspark.sql.pandas.types import to_arrow_type
@@ -116,7 +119,9 @@ def violations(df: DataFrame, key: str, json: str, rule: dict, *, first: int | N
             out: list[list] = [[], [], [], []]
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    found = sorted(set(problems(read_strict(t), rule)))
+                    value = read_strict(t)
+                    found = problems(value, rule)
+                    found = sorted(set(found or (more(value) if more else [])))
                 except ValueError:
                     found = [("", "json")]
                 for pointer, what in found[:first]:
