@@ -200,17 +200,16 @@ def phrase_spans(
     base = base.withColumn("w", F.transform("s", F.lower))
     written = lambda i, n: F.array_join(F.slice("s", i + 1, n), " ").alias("written")
 
-    def places(words: Column, n: int) -> Column:
-        at = F.sequence(F.lit(0), F.size("s") - n)
-        return F.filter(at, lambda i: F.get(words, i).isin(*begins)) if len(begins) <= MAX_BEGINS else at
-
-    def grams(words: Column, n: int) -> Column:
-        own = F.transform(places(words, n), lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice(words, i + 1, n), " ").alias("phrase"), written(i, n)))
-        return F.when(F.size("s") >= n, own).otherwise(F.array().cast("array<struct<start:int,n:int,phrase:string,written:string>>"))
+    def grams(words: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size("s") - 1)
+        at = F.filter(at, lambda i: F.get(words, i).isin(*begins)) if len(begins) <= MAX_BEGINS else at
+        # near the text's end a slice is shorter than n and so is no pattern of n tokens
+        each = F.transform(at, lambda i: F.array(*(F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice(words, i + 1, n), " ").alias("phrase"), written(i, n)) for n in sizes)))
+        return F.when(F.size("s") > 0, F.flatten(each)).otherwise(F.array().cast("array<struct<start:int,n:int,phrase:string,written:string>>"))
 
     sequences = [F.col("w")] + ([F.col("l")] if lemmas is not None else [])
     base = base.withColumn("l", lemmas) if lemmas is not None else base
-    every = F.flatten(F.array(*(grams(q, n) for q in sequences for n in sizes))) if sizes else F.array().cast("array<struct<start:int,n:int,phrase:string,written:string>>")
+    every = F.concat(*(grams(q) for q in sequences)) if sizes else F.array().cast("array<struct<start:int,n:int,phrase:string,written:string>>")
     best = patterns.groupBy("phrase", F.col("size").alias("n")).agg(F.min("phrase_id").alias("phrase_id"))
     hits = base.select(*key, F.inline(every)).join(F.broadcast(best) if entries_bounded(best) else best, ["phrase", "n"])
     hits = hits.select(*key, "start", (-F.col("n")).alias("minus"), F.lit(2).alias("kind"), "phrase_id", "written")
