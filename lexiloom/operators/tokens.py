@@ -155,6 +155,38 @@ def decisions(tokens: DataFrame, entries: DataFrame, allowed: list[str], ceiling
     return known.select(*tokens.columns, "entry_id", "level", decision.alias("decision"))
 
 
+def warnings(rows: DataFrame, key: list[str]) -> DataFrame:
+    """key, code, surface of what a decision leaves in doubt. rows: key, surface, lemma and tag by a tagger, entry_id, fallback, decision.
+
+    W-POS-01: the entry has none of the tag's parts of speech. W-PROPN-01: a proper noun's tag on a word of the vocabulary. W-LEMMA-01: the
+    lemma was a fixed one, or another one than the surface and found nothing.
+    """
+    fixed, matched = F.lower("surface").isin(*LEMMA_FIXES), F.col("entry_id").isNotNull()
+    lost = ~fixed & ~matched & (F.col("decision") == "unknown") & (F.lower(F.coalesce(F.nullif("lemma", F.lit("")), "surface")) != F.lower("surface"))
+    rules = [("W-POS-01", matched & F.col("fallback")), ("W-PROPN-01", matched & F.col("tag").isin("NNP", "NNPS")), ("W-LEMMA-01", fixed | lost)]
+    named = F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules))
+    return rows.select(*key, "surface", F.explode(F.array_compact(named)).alias("code")).select(*key, "code", "surface")
+
+
+def located(column: Column | str) -> Column:
+    """array<struct<surface, start, end>> of a text's tokens, offsets counted from 0, within the JVM; for sentences rather than whole books."""
+    c = F.col(column) if isinstance(column, str) else column
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<surface:string,start:int,end:int>>").alias("own"))
+
+    def add(acc: Column, s: Column) -> Column:
+        at = F.call_function("locate", s, c, acc["at"])
+        return F.struct((at + F.length(s)).alias("at"), F.array_append(acc["own"], F.struct(s.alias("surface"), (at - 1).alias("start"), (at - 1 + F.length(s)).alias("end"))).alias("own"))
+
+    return F.aggregate(surfaces(c), start, add, lambda acc: acc["own"])
+
+
+def slice_of(column: Column | str, tokens: Column | str, first: Column, last: Column) -> Column:
+    """The text as it is written from one token's start to another's end (places in the tokens, from 0); null beyond them."""
+    c, t = (F.col(x) if isinstance(x, str) else x for x in (column, tokens))
+    start, end = F.get(t, first)["start"], F.get(t, last)["end"]
+    return F.substring(c, start + 1, end - start)
+
+
 def entries_bounded(entries: DataFrame, most: int = 200_000) -> bool:
     """Whether a dimension is small enough to be sent to every task: its rows are counted, up to the bound."""
     return entries.limit(most + 1).count() <= most

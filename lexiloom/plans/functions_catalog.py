@@ -454,3 +454,30 @@ def structs_compared(spark, d):
     return q.select("rec_id", a.eqNullSafe(b).alias("same_whole"), text.without_members(a, "name").eqNullSafe(text.without_members(b, "name")).alias("same_rest"))
 
 
+
+
+@query("""
+with t as (select rec_id, body.target_surface as word, case when rec_id % 9 = 0 then 'wo' when rec_id % 9 = 1 then body.target_surface || 'zz' else body.target_surface end as surface, case when rec_id % 9 = 1 then body.headword || 'q' else body.headword end as lemma, (['NN', 'NNP', 'VB', 'NNPS'])[(rec_id % 4)::int + 1] as tag
+  from vocab_flashcard_en2ja where body.target_surface is not null and body.headword is not null),
+e as (select lower(headword) as w, min(id) as entry_id, bool_or(pos = 'verb') as verb, bool_or(pos = 'noun') as noun from lexicon group by 1),
+x as (select t.*, e.entry_id, not case when tag = 'VB' then verb else noun end as fallback from t left join e on e.w = lower(t.lemma))
+select rec_id, unnest(list_filter([case when entry_id is not null and fallback then 'W-POS-01' end, case when entry_id is not null and tag in ('NNP', 'NNPS') then 'W-PROPN-01' end,
+  case when lower(surface) in ('gon', 'na', 'ca', 'wo', 'sha') or (entry_id is null and lower(lemma) <> lower(surface)) then 'W-LEMMA-01' end], lambda c: c is not null)) as code, surface from x""")
+def token_warnings(spark, d):
+    """What decisions leave in doubt, over target words with tags by number, some with a fixed lemma or one that finds nothing."""
+    n, surface, headword = F.col("rec_id"), F.col("body.target_surface"), F.col("body.headword")
+    q = table(spark, d, "vocab_flashcard_en2ja").where(surface.isNotNull() & headword.isNotNull())
+    t = q.select("rec_id", F.when(n % 9 == 0, "wo").when(n % 9 == 1, F.concat(surface, F.lit("zz"))).otherwise(surface).alias("surface"), F.when(n % 9 == 1, F.concat(headword, F.lit("q"))).otherwise(headword).alias("lemma"), F.get(F.array(*map(F.lit, ("NN", "NNP", "VB", "NNPS"))), (n % 4).cast("int")).alias("tag"))
+    chosen = tokens.pos_choice(t.withColumn("word", F.lower("lemma")), table(spark, d, "lexicon"), tokens.tag_priorities(spark))
+    decided = chosen.withColumn("decision", F.when(F.col("entry_id").isNull(), "unknown").otherwise("wordlist_match"))
+    return tokens.warnings(decided, ["rec_id"])
+
+
+@query("""
+with t as (select rec_id, body.source_sentence as s, string_split_regex(trim(regexp_replace(body.source_sentence, '[^A-Za-z0-9]+', ' ', 'g')), ' ') as w from grammar_rewrite where regexp_full_match(body.source_sentence, '[A-Za-z]+( [A-Za-z]+)+[.!?]?'))
+select rec_id, array_to_string(list_slice(w, 2, 3), ' ') as part, len(w[1]) + 1 as start from t where len(w) >= 3""")
+def raw_slices(spark, d):
+    """A sentence as it is written from its second token to its third, by the tokens' offsets."""
+    q = table(spark, d, "grammar_rewrite").select("rec_id", F.col("body.source_sentence").alias("s")).where(F.col("s").rlike("^[A-Za-z]+( [A-Za-z]+)+[.!?]?\\z"))
+    t = q.withColumn("t", tokens.located("s")).where(F.size(F.filter("t", lambda x: x["surface"].rlike("[A-Za-z]"))) >= 3)
+    return t.select("rec_id", tokens.slice_of("s", "t", F.lit(1), F.lit(2)).alias("part"), F.get("t", F.lit(1))["start"].cast("long").alias("start"))

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import jsontext
-from ..operators import versions
+from ..operators import lookup, versions
 
 LEXICON = "id string, headword string, pos string, level string, core_inventory_1 string, core_inventory_2 string, threshold string, is_multiword boolean, group_ids array<string>"
 GROUPS = "group_id string, headword_joined string, pos string, level string, member_ids array<string>"
@@ -53,14 +52,11 @@ def json_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sheet(spark: SparkSession, path: str, columns: list[str], *, separator: str = ",") -> DataFrame:
-    """n_row (from 1) and the raw columns of a delimited export of a sheet; its rows keep the file's order.
-
-    Rows are numbered by the file's partitions and offsets in one task's order, so a sheet is one file of bounded size.
-    """
+    """n_row (from 1) and the raw columns of a delimited export of a sheet; its rows keep the file's order. Workbooks are read by ``workbooks``."""
     raw = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     rows = spark.read.schema(raw).option("sep", separator).option("multiLine", "true").csv(path)
-    numbered = rows.withColumn("__at", F.monotonically_increasing_id())
-    return numbered.withColumn("n_row", F.row_number().over(W.orderBy("__at")).cast("int")).drop("__at").select("n_row", *columns)
+    placed = lookup.numbered(rows.withColumn("__at", F.monotonically_increasing_id()), [F.col("__at")], "n_row")
+    return placed.select(F.col("n_row").cast("int").alias("n_row"), *columns)
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import html
+import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import jsontext
@@ -20,6 +21,25 @@ def _fs(df: DataFrame, path: str):
     return where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()), where, jvm.org.apache.hadoop.fs.Path
 
 
+def refuse_inputs(spark: SparkSession, target: str, inputs: list[str]) -> None:
+    """Refuse a target that is an input, lies in one, or holds one; links are followed where the file system has them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def real(place: str) -> str:
+        where = jvm.org.apache.hadoop.fs.Path(place)
+        fs = where.getFileSystem(conf)
+        whole = fs.makeQualified(where)
+        if fs.exists(whole):
+            whole = fs.resolvePath(whole)
+        text = whole.toString().rstrip("/")
+        return "file:" + os.path.realpath(text.removeprefix("file://").removeprefix("file:")) if text.startswith("file:") else text
+
+    own = real(target)
+    for i in map(real, inputs):
+        if own == i or own.startswith(i + "/") or i.startswith(own + "/"):
+            raise Refused("the output is an input")
+
+
 def as_canonical(df: DataFrame) -> DataFrame:
     """Column value: each row as canonical JSON text, nulls kept."""
     return df.select(jsontext.canonical(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).alias("value"))
@@ -50,9 +70,7 @@ def replace_together(tables: dict[str, DataFrame], folder: str, *, inputs: list[
     """Replace several tables of a folder: all are staged first, then moved; a failed move puts the old ones back."""
     any_df = next(iter(tables.values()))
     fs, root, path = _fs(any_df, folder)
-    for i in inputs or []:
-        if fs.makeQualified(path(i)).equals(fs.makeQualified(root)):
-            raise Refused("the output is an input")
+    refuse_inputs(any_df.sparkSession, folder, inputs or [])
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/.staged/{name}")
     moved: list[str] = []
@@ -77,8 +95,58 @@ def replace_together(tables: dict[str, DataFrame], folder: str, *, inputs: list[
     fs.delete(path(f"{folder}/.old"), True)
 
 
+#: What each format's view shows at once and what it shows as the answer, by members of the body; a choice list is shown between them.
+VIEWS = {
+    "vocab_mcq_en2ja": (("stem",), ("stem_ja",)),
+    "vocab_mcq_ja2en": (("stem", "sentence_with_blank"), ("sentence_complete", "sentence_ja")),
+    "vocab_flashcard_en2ja": (("headword", "pos"), ("gloss", "example.en", "example.ja")),
+    "vocab_flashcard_ja2en": (("gloss", "pos"), ("headword", "example.en", "example.ja")),
+    "grammar_mcq": (("context_sentence", "sentence_with_blank"), ("example_ja",)),
+    "grammar_cloze": (("context_sentence", "sentence_with_blank", "cue"), ("answer", "answer_equivalents", "example_ja")),
+    "grammar_reorder": (("tokens_shuffled",), ("answer_sentence", "example_ja")),
+    "grammar_rewrite": (("source_sentence", "instruction", "target_sentence_with_blank"), ("answer", "answer_equivalents", "source_ja", "target_ja")),
+    "grammar_example_selfcheck": (("context_sentence", "example.en"), ("example.ja",)),
+}
+
+
+def _marked(value: str, surface: str | None) -> str:
+    """A text with the first place of its target marked."""
+    before, found, after = value.partition(surface) if surface else (value, "", "")
+    return html.escape(before) + (f"<mark>{html.escape(found)}</mark>" if found else "") + html.escape(after)
+
+
+def item_view(item: dict) -> str:
+    """One question as its format is shown: what is asked, the choices by letter, and behind a fold the answer and its explanation. Members that are missing are left out."""
+    body = item.get("body") or {}
+
+    def part(path: str) -> str:
+        value = body
+        for name in path.split("."):
+            value = (value or {}).get(name)
+        if not value:
+            return ""
+        value = " / ".join(map(str, value)) if isinstance(value, (list, tuple)) else str(value)
+        return f"<p class='{path.replace('.', '-')}'>{_marked(value, body.get('target_surface'))}</p>"
+
+    asked, answer = VIEWS.get(item.get("format"), ((), ()))
+    choices = [c for c in body.get("choices") or [] if c]
+    letters = "".join(f"<li value='{i}'>{html.escape(c.get('text') or '')}</li>" for i, c in enumerate(choices, 1))
+    right = ", ".join(f"{chr(64 + i)}. {html.escape(c.get('text') or '')}" for i, c in enumerate(choices, 1) if c.get("is_correct"))
+    said = (item.get("explanation") or {}).get("text") or ""
+    shown = "".join(map(part, asked)) + (f"<ol type='A'>{letters}</ol>" if letters else "")
+    hidden = (f"<p class='right'>{right}</p>" if right else "") + "".join(map(part, answer)) + (f"<p class='explanation'>{html.escape(said)}</p>" if said else "")
+    return f"<section class='{html.escape(item.get('format') or 'unknown')}'>{shown}<details>{hidden}</details></section>"
+
+
+def set_page(items: list[dict], title: str) -> str:
+    """One published set as a page of its questions' views, for the screen and for print. For one set, on the driver."""
+    style = "section{break-inside:avoid}@media print{details{display:block}}"
+    head = f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>{style}</style></head>"
+    return f"{head}<body><h1>{html.escape(title)}</h1>{''.join(map(item_view, items))}</body></html>\n"
+
+
 def page(rows: list[dict], title: str) -> str:
-    """One published set as a page: each question with its blank filled by the answer, and its choices. For one set, on the driver."""
+    """Sentences with the blank filled by the answer, and their choices, on one page. For one set, on the driver."""
     out = [f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><ol>"]
     for r in rows:
         answer = next((c["text"] for c in r.get("choices") or [] if c.get("is_correct")), None)

@@ -46,7 +46,7 @@ def test_spans(spark):
     assert ev(spark, t.starts_once("b", "a"), ("aaa", "aa"), ("abcab", "c"), ("abc", "x"), ("abc", "")) == [False, True, False, False]
     assert ev(spark, t.holds_span("a", "b"), ("the cat sat", "cat"), ("concatenate", "cat"), ("a \\E.b", "\\E.b"), ("x", "")) == [True, False, True, False]
     assert ev(spark, t.item_refs("a"), "gp:1, gp:22-1. xgp:3 gp:4x gp:1") == [["gp:1", "gp:22-1"]]
-    assert ev(spark, t.level_refs("a"), "A1.3 B2.2, A1.4 xA1.1 B1.1.") == [["A1.3", "B2.2", "B1.1"]]
+    assert ev(spark, t.level_refs("a"), "A1.3 B2.2, A1.4 xA1.1 B1.1. A2.1-B1.2") == [["A1.3", "B2.2", "A2.1-B1.2"]]
     assert [tuple(x) for x in ev(spark, t.split_on("a", "b"), ("a cat sat", "cat"), ("x", "cat"))] == [("a ", "cat", " sat"), ("x", "", "")]
     assert ev(spark, t.answer_tokens("a"), "It’s, a  Dog.", "") == [["it's", "a", "dog"], []]
     assert ev(spark, t.n_characters("a"), "が", "😀") == [1, 1]
