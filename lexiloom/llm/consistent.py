@@ -209,7 +209,10 @@ def with_form(df: DataFrame, source: str, target: str) -> DataFrame:
     """df with column target: the consistent form of column source."""
     changed = forms(df.select(F.col(source).alias("text")))
     changed = changed.select(F.col("text").alias("__text"), F.col("form").alias("__form"))
-    return df.join(changed, df[source] == changed["__text"], "left").withColumn(target, F.coalesce("__form", F.col(source))).drop("__text", "__form")
+    # texts that stay as they are, often one of them in most rows, meet nothing here: each row gets a key of its own
+    own = F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))
+    keyed = df.withColumn("__key", F.when(may_change(F.col(source)), F.col(source)).otherwise(own))
+    return keyed.join(changed, (F.col("__key") == F.col("__text")) & (F.col(source) == F.col("__text")), "left").withColumn(target, F.coalesce("__form", F.col(source))).drop("__key", "__text", "__form")
 
 
 def inconsistent(df: DataFrame, source: str) -> DataFrame:
