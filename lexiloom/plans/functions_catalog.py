@@ -481,3 +481,34 @@ def raw_slices(spark, d):
     q = table(spark, d, "grammar_rewrite").select("rec_id", F.col("body.source_sentence").alias("s")).where(F.col("s").rlike("^[A-Za-z]+( [A-Za-z]+)+[.!?]?\\z"))
     t = q.withColumn("t", tokens.located("s")).where(F.size(F.filter("t", lambda x: x["surface"].rlike("[A-Za-z]"))) >= 3)
     return t.select("rec_id", tokens.slice_of("s", "t", F.lit(1), F.lit(2)).alias("part"), F.get("t", F.lit(1))["start"].cast("long").alias("start"))
+
+
+@query("select rec_id, rec_id % 4 = 0 as canonical from grammar_rewrite")
+def canonical_bytes(spark, d):
+    """Whether a text is byte for byte its canonical form; of four, one is: the others have a space too many, members in another order, or no line feed."""
+    n, r = F.col("rec_id") % 4, F.col("rec_id").cast("string")
+    a, b = F.concat(F.lit('  "a": '), r), F.lit('  "b": "é"')
+    x = F.when(n == 0, F.concat(F.lit("{\n"), a, F.lit(",\n"), b, F.lit("\n}\n"))).when(n == 1, F.concat(F.lit("{\n"), a, F.lit(" ,\n"), b, F.lit("\n}\n"))).when(n == 2, F.concat(F.lit("{\n"), b, F.lit(",\n"), a, F.lit("\n}\n"))).otherwise(F.concat(F.lit("{\n"), a, F.lit(",\n"), b, F.lit("\n}")))
+    return table(spark, d, "grammar_rewrite").select("rec_id", x.alias("x")).select("rec_id", jsontext.is_canonical("x").alias("canonical"))
+
+
+@query("select (select count(*) from lexicon) as n_entries, (select count(*) from grammar) as n_items")
+def reference_bundle(spark, d):
+    """The reference tables behind one check of their counts and digests."""
+    tables = {n: table(spark, d, n) for n in ("lexicon", "grammar")}
+    counts = {n: t.count() for n, t in tables.items()}
+    own = spark.createDataFrame([(n, f"{k:064x}") for n, k in counts.items()], "name string, sha256 string")
+    b = readers.Bundle(spark, tables, recorded=own, actual=own, counts=counts)
+    n = lambda t, c: b[t].agg(F.count(F.lit(1)).alias(c))
+    return n("lexicon", "n_entries").withColumn("one", F.lit(1)).join(n("grammar", "n_items").withColumn("one", F.lit(1)), "one").drop("one")
+
+
+@query("""
+with s as (select distinct set_id, question_id from grammar_mcq where provenance.review_ref is not null), a as (select distinct set_id, question_id from grammar_mcq)
+select set_id, question_id, 'left' as side from a where (set_id, question_id) not in (select (set_id, question_id) from s)""")
+def slots_without_end(spark, d):
+    """Slots none of whose attempts was accepted, and accepted ones without a slot: both sides of one difference."""
+    key = F.concat_ws("|", "set_id", "question_id").alias("slot")
+    q = table(spark, d, "grammar_mcq")
+    found = versions.both_ways(q.select(key), q.where("provenance.review_ref is not null").select(key), "slot")
+    return found.select(F.split_part("slot", F.lit("|"), F.lit(1)).alias("set_id"), F.split_part("slot", F.lit("|"), F.lit(2)).alias("question_id"), "side")
