@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import materialise, table
-from . import consistent, records, termfreq
+from . import consistent, form_sql, records, termfreq
 
 
 def term_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,5 +47,15 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: the consistent form has no SQL; the tests hold a brute-force version."""
-    return {}
+    last = "qualify row_number() over (partition by set_id, question_id, generation order by ingested_at desc, rec_id desc) = 1"
+    counted = f"""
+with v as (select rec_id, body.choices as cs from vocab_mcq_en2ja {last}), g as (select rec_id, target.ref as ref from grammar_mcq {last}),
+t as (select 'choice_text' as field, rec_id, {form_sql.form('c.text')} as term from (select rec_id, unnest(cs) as c from v) where c.text is not null
+  union all select 'target_ref', rec_id, lower({form_sql.form('ref')}) from g where ref is not null),
+n as (select field, term, count(*) as n_occurrences, count(distinct rec_id) as n_records from t group by 1, 2),
+a as (select 'choice_text' as field, count(*) as n_all from v union all select 'target_ref', count(*) from g),
+m as (select n.*, case when 40 * n_records > n_all then 'common' when n_records <= 2 then 'rare' end as mark from n join a using (field))"""
+    return {
+        "p5_found": counted + " select field, term, mark from m where mark is not null",
+        "p5_terms": counted + " select field, term, n_occurrences, n_records, coalesce(mark, '') as mark from m",
+    }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import consistent
+from . import consistent, form_sql
 
 
 def learner_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,5 +33,13 @@ def queries() -> dict:
     return {f.__name__: f for f in (p2_found, p2_forms)}
 
 
+_TEXTS = """(select 'vocab_mcq_en2ja' as src, rec_id, i::int as choice_no, c.gloss as text from (select rec_id, unnest(body.choices) as c, unnest(range(len(body.choices))) as i from vocab_mcq_en2ja)
+union all select 'grammar_example_selfcheck', rec_id, -1, body.example.ja from grammar_example_selfcheck)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    form = form_sql.form("text")
+    return {
+        "p2_found": f"select src, rec_id, choice_no from {_TEXTS} where text <> {form}",
+        "p2_forms": f"select src, {form} as form, count(*) as n_texts, count(distinct text) as n_spellings from {_TEXTS} where text is not null group by all",
+    }
