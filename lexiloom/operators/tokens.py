@@ -47,7 +47,7 @@ class Tagger(Protocol):
 
 def plain_tagger(texts: list[str]) -> Iterator[list[tuple]]:
     """Without a model: surfaces by pattern, lemma in lower case, tag unknown; sentences end with . ! or ?"""
-    pattern = re.compile(TOKEN)
+    pattern = re.compile(TOKEN, re.ASCII)  # the white space that ``surfaces`` knows; other spaces are tokens of their own, which are exempt
     for t in texts:
         out, sentence, ended = [], 0, False
         for m in pattern.finditer(t):

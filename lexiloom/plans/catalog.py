@@ -582,7 +582,12 @@ def phrase_greedy(spark, d):
     return tokens.phrases(_english(spark, d), ["doc_id"], "text", tokens.phrase_patterns(table(spark, d, "lexicon")))
 
 
-@query()
+@query(f"""
+with recursive t as (select rec_id, body.source_sentence as s, {_TOKENS_OF.format('body.source_sentence')} as k from grammar_rewrite where body.source_sentence is not null),
+r as (select rec_id, s, k, 0::bigint as i, 0::bigint as start, 0::bigint as stop, 0 as sentence, false as ended from t
+  union all select rec_id, s, k, i + 1, stop + instr(substr(s, stop + 1), k[i + 1]) - 1, stop + instr(substr(s, stop + 1), k[i + 1]) - 1 + length(k[i + 1]),
+    case when ended and regexp_matches(k[i + 1], '^[A-Za-z0-9]') then sentence + 1 else sentence end, (ended and not regexp_matches(k[i + 1], '^[A-Za-z0-9]')) or k[i + 1] in ('.', '!', '?') from r where i < len(k))
+select rec_id, k[i] as surface, lower(k[i]) as lemma, '' as tag, case when regexp_matches(k[i], '^[0-9]') then 'NUM' when regexp_matches(k[i], '^[A-Za-z]') then 'X' else 'PUNCT' end as upos, start::int as start, stop::int as "end", sentence from r where i > 0""")
 def tagged_sentences(spark, d):
     """Tokens with offsets and sentence numbers by the plain tagger."""
     q = table(spark, d, "grammar_rewrite").select("rec_id", F.col("body.source_sentence").alias("s"))
