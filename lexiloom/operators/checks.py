@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import levels, text
+from ..runtime import if_small
 from . import lookup, tokens
 
 KEY = ["rec_id"]
@@ -89,7 +90,7 @@ def anchors(items: DataFrame, column: str, entries: DataFrame, key: list[str] =
     """
     rows = items.select(*key, F.posexplode(column).alias("choice_no", "c")).where("c.anchor is not null")
     e = entries.select(F.col("id").alias("e_id"), F.col("headword").alias("e_headword"), F.col("pos").alias("e_pos"), F.col("level").alias("e_level"))
-    e = F.broadcast(e) if tokens.entries_bounded(e) else e
+    e = if_small(e)
     joined = rows.join(e, F.col("c.anchor.entry_id") == F.col("e_id"), "left")
     differs = reduce(lambda a, b: a | b, [~F.col(f"c.anchor.{m}").eqNullSafe(F.col(f"e_{m}")) for m in ("headword", "pos", "level")])
     right = joined.where("c.is_correct").select(*key, lookup.compatible_group("e_pos").alias("t_group"), F.col("e_pos").alias("t_pos")).dropDuplicates(key)
@@ -113,7 +114,7 @@ def anchor_rules(items: DataFrame, column: str, level: str, ref: str, relaxed: s
     missing level, target or choices, break nothing here; a question without a correct choice does.
     """
     e = entries.select(F.col("id").alias("e_id"), F.col("pos").alias("e_pos"))
-    e = F.broadcast(e) if tokens.entries_bounded(e) else e
+    e = if_small(e)
     t_pos = F.coalesce("e_pos", text.pos_of("__ref")).alias("t_pos")
     rows = items.select(*key, F.col(column).alias("__own"), levels.band(levels.read(level)).alias("__level"), F.col(ref).alias("__ref"), F.coalesce(relaxed, F.lit(False)).alias("__relaxed"))
     rows = rows.join(e, F.col("__ref") == F.col("e_id"), "left").select(*key, "__own", "__level", "__ref", "__relaxed", t_pos)
@@ -150,7 +151,7 @@ def targets(items: DataFrame, ref: str, table: DataFrame, key: list[str] = KEY,
     """
     none = F.lit(None).cast("string")
     t = table.select(F.col("id").alias("__id"), (F.col("level") if level else none).alias("__actual"))
-    t = F.broadcast(t) if tokens.entries_bounded(t) else t
+    t = if_small(t)
     asked = levels.band(levels.read(level)) if level else none
     joined = items.where(F.col(ref).isNotNull()).withColumn("__asked", asked).join(t, F.col(ref) == F.col("__id"), "left")
     there = F.col("__id").isNotNull()

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import levels, text
+from ..runtime import if_small
 from . import checks, lookup, tokens
 
 # The formats in their order, those of vocabulary first.
@@ -203,7 +204,7 @@ def target_problems(items: DataFrame, fmt: str, key: list[str], entries: DataFra
     in, and target_surface is what matched, begins at one place only, and (of a blank to be filled in) is the headword and completes the sentence."""
     surface, ref = _member("target_surface"), F.col("target.ref")
     e = entries.select(F.col("id").alias("__id"), F.col("headword").alias("__headword"), F.col("level").alias("__level"))
-    e = F.broadcast(e) if tokens.entries_bounded(e) else e
+    e = if_small(e)
     asked = levels.band(level)
     here = [F.col(k) for k in key]
     texts = items.select(*here, ref.alias("__ref"), F.inline(english(fmt))).where("target").select(*key, "__ref", "text")
@@ -243,7 +244,7 @@ def anchor_problems(items: DataFrame, fmt: str, key: list[str], entries: DataFra
     """
     ref, relaxed = F.col("target.ref"), F.coalesce(_member("pos_pool_relaxed"), F.lit(False))
     e = entries.select(F.col("id").alias("__id"), F.struct("headword", "pos", "level").alias("__entry"))
-    e = F.broadcast(e) if tokens.entries_bounded(e) else e
+    e = if_small(e)
     rows = items.where(_member("choices").isNotNull()).join(e, ref == F.col("__id"), "left")
     t_pos = F.coalesce(F.col("__entry.pos"), text.pos_of(ref))
     rows = rows.select(*key, levels.band(level).alias("__asked"), ref.alias("__ref"), relaxed.alias("__relaxed"), t_pos.alias("__pos"), _member("choices").alias("__choices"))

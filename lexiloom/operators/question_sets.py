@@ -15,7 +15,7 @@ def adjacency(questions: DataFrame, payloads: DataFrame) -> DataFrame:
     """Nodes of both sources. A table row counts as a set of its one question, whose format is the table's."""
     question = F.struct("question_id", "format", "body", "provenance")
     row = F.to_json(F.struct("set_id", F.lit(FORMAT).alias("format"), F.array(question).alias("questions")), {"ignoreNullFields": "false"})
-    return shred.nodes(questions, FORMAT, "rec_id", row).unionByName(shred.nodes(payloads, "set_raw", "raw_id", F.col("payload")))
+    return shred.nodes(shred.documents(questions, FORMAT, "rec_id", row).unionByName(shred.documents(payloads, "set_raw", "raw_id", F.col("payload"))))
 
 
 def flat_tables(spark: SparkSession, folder: str) -> shred.Entities:
@@ -24,11 +24,11 @@ def flat_tables(spark: SparkSession, folder: str) -> shred.Entities:
 
 def found(e: shred.Entities) -> DataFrame:
     """One row per choice that is an object with a non-null text, with its question, set and review."""
-    question = e.questions.where(F.trim(F.col("format")) == FORMAT).select("src", "doc", F.col("node").alias("up_question"), "set_id", "question_id")
+    question = e.questions.where(F.trim(F.col("format")) == FORMAT).select("doc", F.col("node").alias("up_question"), "set_id", "question_id")
     return (
         e.choices.where("has_text")
-        .join(question, ["doc", "up_question", "src"])
-        .join(e.reviews.select("src", "doc", "up_question", "review_ref"), ["doc", "up_question", "src"], "left")
+        .join(question, ["doc", "up_question"])
+        .join(e.reviews.select("doc", "up_question", "review_ref"), ["doc", "up_question"], "left")
         .select("src", "rec_id", "set_id", "question_id", F.col("choice_no").cast("int").alias("choice_no"), F.coalesce("review_ref", F.lit("")).alias("review_ref"))
     )
 
@@ -40,8 +40,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_sets(spark: SparkSession, folder: str) -> DataFrame:
     """Sets with their number of questions."""
     e = flat_tables(spark, folder)
-    n = e.questions.groupBy("src", "doc", F.col("up_set").alias("node")).agg(F.count(F.lit(1)).alias("n_questions"))
-    return e.sets.join(n, ["doc", "node", "src"], "left").select("src", "rec_id", F.col("node").alias("set_node"), "set_id", "format", F.coalesce("n_questions", F.lit(0)).alias("n_questions"))
+    n = e.questions.groupBy("doc", F.col("up_set").alias("node")).agg(F.count(F.lit(1)).alias("n_questions"))
+    return e.sets.join(n, ["doc", "node"], "left").select("src", "rec_id", F.col("node").alias("set_node"), "set_id", "format", F.coalesce("n_questions", F.lit(0)).alias("n_questions"))
 
 
 def p1_questions(spark: SparkSession, folder: str) -> DataFrame:

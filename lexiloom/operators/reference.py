@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import levels, text
+from ..runtime import if_small
 
 
 def not_blank(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -131,13 +132,7 @@ def expectation_problems(measures: DataFrame, expected: dict[str, int]) -> DataF
 def first_of_group(rows: DataFrame, group: str, place: str) -> DataFrame:
     """rows with first_at: where their group begins. The minimum is taken before the shuffle, so a hot group stays in the tasks that have it."""
     first = rows.groupBy(F.col(group).alias("__group")).agg(F.min(place).alias("first_at"))
-    first = F.broadcast(first) if bounded(first) else first
-    return rows.join(first, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
-
-
-def bounded(rows: DataFrame, most: int = 200_000) -> bool:
-    """Whether a table is small enough to be sent to every task: its rows are counted, up to the bound."""
-    return rows.limit(most + 1).count() <= most
+    return rows.join(if_small(first), F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
 
 
 def with_corpus(items: DataFrame, statistics: DataFrame, columns: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import levels, text
+from ..runtime import if_small
 from . import items, matching
 
 # The formats a check applies to, by their places in the list of formats.
@@ -83,12 +84,7 @@ def with_references(reviews: DataFrame, inventory: DataFrame, grammar: DataFrame
     r = reviews.select(*key, level_limit(F.col("format"), F.col("level")).alias("limit"), "texts")
     ref = teacher_references(grammar).select(F.col("id").alias("grammar_item_id"), F.struct("level_raw", "inherited_from", "structure").alias("ref"))
     found = F.transform(F.filter("texts", lambda t: text.holds_span(t["text"], F.col("span"))), lambda t: t["field"])
-    return inventory.join(r, key).join(F.broadcast(ref) if matching_bounded(ref) else ref, "grammar_item_id", "left").withColumn("fields", found).withColumn("intro", F.substring_index("level", "-", 1)).drop("texts")
-
-
-def matching_bounded(rows: DataFrame, most: int = 200_000) -> bool:
-    """Whether a reference table is small enough to be sent to every task: its rows are counted, up to the bound."""
-    return rows.limit(most + 1).count() <= most
+    return inventory.join(r, key).join(if_small(ref), "grammar_item_id", "left").withColumn("fields", found).withColumn("intro", F.substring_index("level", "-", 1)).drop("texts")
 
 
 def candidate_pairs(own: DataFrame, violations: DataFrame, key: list[str]) -> DataFrame:

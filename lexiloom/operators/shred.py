@@ -15,13 +15,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise
+from ..runtime import if_small, materialise
 
 NODES = (
     "src string, rec_id long, doc long, node int, parent int, owner int, label string, ordinal int, kind string, scalar string"
@@ -163,19 +164,15 @@ def _batch(documents: pa.RecordBatch, counts: list[int], columns: list[list]) ->
     return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
 
 
-def nodes(df: DataFrame, src: str, rec_id: str, text: Column) -> DataFrame:
-    """The adjacency table of a table's JSON texts; doc numbers its rows."""
-    one = df.select(F.lit(src).alias("src"), F.col(rec_id).cast("long").alias("rec_id"), text.alias("text"))
-    one = one.where(F.col("text").isNotNull()).withColumn("doc", F.monotonically_increasing_id())
-    return one.select("src", "rec_id", "doc", "text").mapInArrow(_shred, NODES)
-
-
-_KEY = ["src", "doc"]
+def documents(df: DataFrame, src: str, rec_id: str, text: Column) -> DataFrame:
+    """src, rec_id, text of a table's JSON texts."""
+    return df.select(F.lit(src).alias("src"), F.col(rec_id).cast("long").alias("rec_id"), text.alias("text")).where(F.col("text").isNotNull())
 
 
-def _by(*members: str) -> list[str]:
-    """Key columns with the document's number first, which tells rows apart where they are sorted; src only does between sources."""
-    return ["doc", *members, "src"]
+def nodes(texts: DataFrame) -> DataFrame:
+    """The adjacency table of documents; doc numbers them, over all sources."""
+    one = texts.withColumn("doc", F.monotonically_increasing_id())
+    return one.select("src", "rec_id", "doc", "text").mapInArrow(_shred, NODES)
 
 
 _MEMBERS = ("set_id", "question_id", "format", "text", "review_ref", "gloss", "is_correct")
@@ -186,20 +183,20 @@ def objects(table: DataFrame) -> DataFrame:
     """Object nodes joined with their scalar children, which become columns; has_* tells which parts an object has."""
     children = table.where((F.col("parent") == F.col("owner")) & F.col("label").isin(*_MEMBERS, *_PARTS))
     scalar = F.col("kind").isin("string", "number", "boolean")
-    wide = children.groupBy("doc", F.col("owner").alias("node"), "src").agg(
+    wide = children.groupBy("doc", F.col("owner").alias("node")).agg(
         *(F.max(F.when((F.col("label") == m) & scalar, F.col("scalar"))).alias(m) for m in _MEMBERS),
         # a member that isn't null, be it a scalar or a whole structure
         *(F.coalesce(F.max((F.col("label") == p) & (F.col("kind") != "null")), F.lit(False)).alias(f"has_{p}") for p in _PARTS),
     )
     own = table.where(F.col("kind") == "object").select(
-        *_KEY, "rec_id", "node", "owner", "label", "ordinal", (F.col("parent") != F.col("owner")).alias("in_list")
+        "src", "doc", "rec_id", "node", "owner", "label", "ordinal", (F.col("parent") != F.col("owner")).alias("in_list")
     )
-    return own.join(wide, _by("node"), "left")
+    return own.join(wide, ["doc", "node"], "left")
 
 
 @dataclass
 class Entities:
-    """Flat tables of sets, questions, choices and reviews; (src, doc, node) is the key of each, up_* names the parent."""
+    """Flat tables of sets, questions, choices and reviews; (doc, node) is the key of each, up_* names the parent, (src, rec_id) the row it came from."""
 
     sets: DataFrame
     questions: DataFrame
@@ -214,42 +211,41 @@ def entities(table: DataFrame, *, keep: bool = True) -> Entities:
     objs = materialise(objs, "objects") if keep else objs
     has = {p: F.coalesce(F.col(f"has_{p}"), F.lit(False)) for p in _PARTS}
 
-    def up(name: str) -> DataFrame:
-        """Objects as parents: key and what a child needs of them."""
-        return objs.select(*_KEY, F.col("node").alias("owner"), F.col("label").alias(f"{name}_label"), F.col("owner").alias(f"{name}_owner"), F.col("in_list").alias(f"{name}_in_list"), *(has[p].alias(f"{name}_has_{p}") for p in ("question_id", "body", "text")))
+    def keyed_by_name(label: str, *single: str) -> DataFrame:
+        """Members of objects that stand for a list: of this label, in no list, and without the parts that one item has. up is their owner."""
+        odd = objs.where((F.col("label") == label) & ~F.col("in_list") & ~reduce(lambda a, b: a | b, (has[p] for p in single)))
+        return objs.join(if_small(odd.select("doc", F.col("node").alias("owner"), F.col("owner").alias("up"))), ["doc", "owner"])
 
     sets = objs.where(has["questions"]).select("src", "doc", "node", "rec_id", "set_id", "format")
 
     # a question: an item of the list, the one object there instead of a list, or a member of an object of questions
     direct = (F.col("label") == "questions") & (F.col("in_list") | has["question_id"] | has["body"])
-    held = objs.where(direct).select(*_KEY, "node", "rec_id", "question_id", "format", F.col("owner").alias("up_set"))
+    held = objs.where(direct).select("src", "doc", "node", "rec_id", "question_id", "format", F.col("owner").alias("up_set"))
     named = (
-        objs.where(~F.coalesce(direct, F.lit(False)))
-        .join(up("q"), _by("owner"))
-        .where((F.col("q_label") == "questions") & ~F.col("q_in_list") & ~F.col("q_has_question_id") & ~F.col("q_has_body"))
-        .select(*_KEY, "node", "rec_id", "question_id", "format", F.col("q_owner").alias("up_set"))
+        keyed_by_name("questions", "question_id", "body")
+        .where(~F.coalesce(direct, F.lit(False)))
+        .select("src", "doc", "node", "rec_id", "question_id", "format", F.col("up").alias("up_set"))
     )
-    of_set = sets.select(*_KEY, F.col("node").alias("up_set"), F.col("set_id"), F.col("format").alias("set_format"))
+    of_set = sets.select("doc", F.col("node").alias("up_set"), F.col("set_id"), F.col("format").alias("set_format"))
     questions = (
         held.unionByName(named)
-        .join(of_set, _by("up_set"))
-        .select(*_KEY, "node", "up_set", "rec_id", "set_id", "question_id", F.coalesce("format", "set_format").alias("format"))
+        .join(of_set, ["doc", "up_set"])
+        .select("src", "doc", "node", "up_set", "rec_id", "set_id", "question_id", F.coalesce("format", "set_format").alias("format"))
     )
 
     # a choice: an item of the list, a named member of an object of choices, or one object there instead of a list
     of_choices = F.col("label") == "choices"
-    listed = objs.where(of_choices & F.col("in_list")).select(*_KEY, "node", "rec_id", "text", "has_text", "gloss", "is_correct", F.col("ordinal").alias("choice_no"), F.col("owner").alias("up_body"))
-    single = objs.where(of_choices & ~F.col("in_list") & has["text"]).select(*_KEY, "node", "rec_id", "text", "has_text", "gloss", "is_correct", F.lit(0).alias("choice_no"), F.col("owner").alias("up_body"))
+    listed = objs.where(of_choices & F.col("in_list")).select("src", "doc", "node", "rec_id", "text", "has_text", "gloss", "is_correct", F.col("ordinal").alias("choice_no"), F.col("owner").alias("up_body"))
+    single = objs.where(of_choices & ~F.col("in_list") & has["text"]).select("src", "doc", "node", "rec_id", "text", "has_text", "gloss", "is_correct", F.lit(0).alias("choice_no"), F.col("owner").alias("up_body"))
     keyed = (
-        objs.join(up("c"), _by("owner"))
-        .where((F.col("c_label") == "choices") & ~F.col("c_in_list") & ~F.col("c_has_text"))
-        .select(*_KEY, "node", "rec_id", "text", "has_text", "gloss", "is_correct", F.col("ordinal").alias("choice_no"), F.col("c_owner").alias("up_body"))
-    )
-    bodies = objs.where(F.col("label") == "body").select(*_KEY, F.col("node").alias("up_body"), F.col("owner").alias("up_question"))
-    choices = listed.unionByName(single).unionByName(keyed).join(bodies, _by("up_body"))
+        keyed_by_name("choices", "text")
+        .select("src", "doc", "node", "rec_id", "text", "has_text", "gloss", "is_correct", F.col("ordinal").alias("choice_no"), F.col("up").alias("up_body"))
+    )
+    bodies = objs.where(F.col("label") == "body").select("doc", F.col("node").alias("up_body"), F.col("owner").alias("up_question"))
+    choices = listed.unionByName(single).unionByName(keyed).join(bodies, ["doc", "up_body"])
     reviews = (
         objs.where((F.col("label") == "provenance") & F.col("review_ref").isNotNull())
-        .groupBy("doc", F.col("owner").alias("up_question"), "src")
-        .agg(F.min("node").alias("node"), F.min("rec_id").alias("rec_id"), F.min("review_ref").alias("review_ref"))
+        .groupBy("doc", F.col("owner").alias("up_question"))
+        .agg(F.min("src").alias("src"), F.min("node").alias("node"), F.min("rec_id").alias("rec_id"), F.min("review_ref").alias("review_ref"))
     )
     return Entities(sets, questions, choices, reviews)

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import levels
+from ..runtime import if_small
 
 # A word with an inner apostrophe, a number, or any other visible character.
 TOKEN = "[A-Za-z]+(?:['’][A-Za-z]+)?|[0-9]+(?:[.,][0-9]+)*(?:st|nd|rd|th)?|[^\\sA-Za-z0-9]"
@@ -144,7 +145,7 @@ def decisions(tokens: DataFrame, entries: DataFrame, allowed: list[str], ceiling
     allowed surfaces count as they are written; ceiling is the broad rank a text may use.
     """
     e = best_entries(entries)
-    known = tokens.join(F.broadcast(e) if entries_bounded(entries) else e, "word", "left")
+    known = tokens.join(if_small(e), "word", "left")
     decision = (
         F.when(F.col("rank") <= ceiling, "wordlist_match")
         .when(F.col("rank").isNotNull(), "above_level")
@@ -187,11 +188,6 @@ def slice_of(column: Column | str, tokens: Column | str, first: Column, last: Co
     return F.substring(c, start + 1, end - start)
 
 
-def entries_bounded(entries: DataFrame, most: int = 200_000) -> bool:
-    """Whether a dimension is small enough to be sent to every task: its rows are counted, up to the bound."""
-    return entries.limit(most + 1).count() <= most
-
-
 def phrase_patterns(entries: DataFrame, tagger: Tagger | None = None, *, single: bool = False) -> DataFrame:
     """phrase_id, phrase, size: headwords of several words (single: all), by their lower-cased tokens.
 
@@ -243,11 +239,11 @@ def phrase_spans(
     base = base.withColumn("l", lemmas) if lemmas is not None else base
     every = F.concat(*(grams(q) for q in sequences)) if sizes else F.array().cast("array<struct<start:int,n:int,phrase:string,written:string>>")
     best = patterns.groupBy("phrase", F.col("size").alias("n")).agg(F.min("phrase_id").alias("phrase_id"))
-    hits = base.select(*key, F.inline(every)).join(F.broadcast(best) if entries_bounded(best) else best, ["phrase", "n"])
+    hits = base.select(*key, F.inline(every)).join(if_small(best), ["phrase", "n"])
     hits = hits.select(*key, "start", (-F.col("n")).alias("minus"), F.lit(2).alias("kind"), "phrase_id", "written")
     if ids:
         o = own.select(F.col("phrase_id").alias("__id"), F.split("phrase", " ").alias("p"), F.col("size").alias("n"))
-        o = F.broadcast(o) if entries_bounded(o) else o
+        o = if_small(o)
     if target:
         t = base.join(o, F.col(target) == F.col("__id")).where(F.size("s") >= F.col("n")).withColumn("f", fixed)
         at = F.filter(F.sequence(F.lit(0), F.size("s") - F.col("n")), lambda i: (F.slice("w", i + 1, F.col("n")) == F.col("p")) | (F.slice("f", i + 1, F.col("n")) == F.col("p")))
@@ -286,7 +282,7 @@ def phrase_decisions(rows: DataFrame, entries: DataFrame, allowed: list[str], ce
     """rows of ``counted`` with entry_id, level, decision: phrases by their entry's level (multiword_match or above_level), the rest by ``decisions``."""
     single = decisions(rows.withColumn("word", F.when(F.col("phrase_id").isNull(), F.lower("surface"))), entries, allowed, ceiling)
     p = entries.select(F.col("id").alias("phrase_id"), F.col("level").alias("p_level"), levels.broad_rank("level").alias("p_rank"))
-    both = single.join(F.broadcast(p) if entries_bounded(p) else p, "phrase_id", "left")
+    both = single.join(if_small(p), "phrase_id", "left")
     own = F.col("phrase_id").isNotNull()
     decision = F.when(own & (F.col("p_rank") <= ceiling), "multiword_match").when(own, "above_level").otherwise(F.col("decision"))
     return both.select(*rows.columns, F.coalesce("phrase_id", "entry_id").alias("entry_id"), F.when(own, F.col("p_level")).otherwise(F.col("level")).alias("level"), decision.alias("decision"))

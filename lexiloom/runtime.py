@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Options an interactive or test session starts from; a cluster brings its own.
 DEFAULTS = {
@@ -105,6 +106,16 @@ def materialise(df: DataFrame, label: str, *, mode: str = "errorifexists") -> Da
     return spark.read.schema(df.schema).parquet(where)
 
 
+def bounded(rows: DataFrame, most: int = 200_000) -> bool:
+    """Whether a table is small enough to be sent to every task: its rows are counted, up to the bound."""
+    return rows.limit(most + 1).count() <= most
+
+
+def if_small(rows: DataFrame) -> DataFrame:
+    """rows to be broadcast where they are few enough, else to be joined as Spark sees fit."""
+    return F.broadcast(rows) if bounded(rows) else rows
+
+
 def slots(spark: SparkSession) -> int:
     """Tasks that can run at once, at least one."""
     return max(1, spark.sparkContext.defaultParallelism)
