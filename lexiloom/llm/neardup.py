@@ -33,6 +33,8 @@ LONG = 200
 HEAVY, WIDEST = 1 << 18, 40
 #: Rows of one class that one task pairs with rows of another.
 BLOCK = 1000
+#: Classes that hold a HOT-th of all rows or more, hence at most so many, are joined by broadcast, so that copies never meet in one task.
+HOT = 4096
 
 
 def words(text: Column) -> Column:
@@ -81,7 +83,15 @@ def classes(rows: DataFrame, by: str, row_id: str, text: str) -> tuple[DataFrame
     order = [*(F.get("toks", F.lit(i)) for i in range(3)), F.col("key")]
     placed = full.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("cls", F.monotonically_increasing_id())
     placed = materialise(placed, "classes")
-    return materialise(named.join(placed.select("key", "cls"), "key").select("by", "row_id", "cls"), "rows"), placed.select("cls", "toks")
+    return materialise(with_class(named, placed.select("key", "cls"), "key").select("by", "row_id", "cls"), "rows"), placed.select("cls", "toks")
+
+
+def with_class(rows: DataFrame, classes: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with a table that has one row per key; the rows of hot keys stay where they are."""
+    total = rows.count()
+    hot = F.broadcast(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT >= F.greatest(F.lit(total), F.lit(HOT * BLOCK))).select(key))
+    few = rows.join(hot, key, "left_semi").join(F.broadcast(classes.join(hot, key)), key, how)
+    return few.unionByName(rows.join(hot, key, "left_anti").join(classes, key, how))
 
 
 def groups(cls: DataFrame) -> DataFrame:
@@ -162,7 +172,7 @@ def row_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     count = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
     blocks = count.select("cls", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
     large = blocks.where("k > 1").select("cls", "k")
-    rows = members.join(large, "cls", "left").select("by", "row_id", "cls", F.coalesce(F.pmod(F.xxhash64("row_id"), F.col("k")).cast("int"), F.lit(0)).alias("at"))
+    rows = with_class(members, large, "cls", "left").select("by", "row_id", "cls", F.coalesce(F.pmod(F.xxhash64("row_id"), F.col("k")).cast("int"), F.lit(0)).alias("at"))
     a = rows.select("by", F.col("cls").alias("a"), F.col("at").alias("i"), F.col("row_id").alias("x"))
     b = rows.select(F.col("cls").alias("b"), F.col("at").alias("j"), F.col("row_id").alias("y"))
 

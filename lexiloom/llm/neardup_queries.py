@@ -34,7 +34,7 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     named = neardup.components(classes, pairs).join(first, "cls")
     group = named.groupBy("label").agg(F.min("class_id").alias("group_id"))
     of_class = named.join(group, "label").join(degree, "cls", "left")
-    return members.join(of_class.drop("by"), "cls").select(F.col("by").alias("field"), F.col("row_id").alias("rec_id"), "class_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return neardup.with_class(members, of_class.drop("by"), "cls").select(F.col("by").alias("field"), F.col("row_id").alias("rec_id"), "class_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def queries() -> dict:

@@ -91,6 +91,18 @@ def test_groups_are_the_connected_rows(spark, folder):
     assert all(k[1] == min(r for _, r in v) for k, v in got.items())
 
 
+def test_hot_classes_stay_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(n, "BLOCK", 1)
+    monkeypatch.setattr(n, "HOT", 4)
+    rows = spark.createDataFrame([(1, i) for i in range(30)] + [(k, 100 + k) for k in range(2, 40)], "cls long, row_id long")
+    classes = spark.createDataFrame([(k, str(k)) for k in range(1, 38)], "cls long, v string")
+    want = {(k, r, str(k)) for k, r in [(1, i) for i in range(30)] + [(k, 100 + k) for k in range(2, 38)]}
+    assert {tuple(r) for r in n.with_class(rows, classes, "cls").collect()} == want
+    assert {tuple(r) for r in n.with_class(rows, classes, "cls", "left").collect()} == want | {(k, 100 + k, None) for k in (38, 39)}
+    texts = [("x", i, "one two three") for i in range(25)] + [("x", 50 + i, f"one two three w{i}") for i in range(3)] + [("x", 90, "z z")]
+    assert found(spark, texts) == brute(texts)
+
+
 def test_a_long_chain_settles(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
     cls = spark.createDataFrame([(i,) for i in range(302)], "cls long")
