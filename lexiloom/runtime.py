@@ -87,6 +87,19 @@ def discard(spark: SparkSession) -> int:
     return len(own)
 
 
+def _leave_nothing() -> None:
+    """At the program's end: delete what is left, if its session still runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        try:
+            discard(spark)
+        except Exception:  # the gateway may be gone already; the tables then stay for whoever owns the folder
+            pass
+
+
+atexit.register(_leave_nothing)
+
+
 def fresh_place(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, dropped by ``discard`` like a materialised table."""
     where = f"{shared_folder(spark)}/lexiloom/{label}-{uuid.uuid4().hex}"
@@ -98,7 +111,7 @@ def materialise(df: DataFrame, label: str, *, mode: str = "errorifexists") -> Da
     """Write ``df`` as a table of the shared folder and read it back.
 
     The lineage ends there, so neither a lost executor nor a second use computes it again. The table's
-    name is new each time; ``discard`` drops the run's tables once its results are read.
+    name is new each time; ``discard`` drops the run's tables once its results are read, at the latest when the program ends.
     """
     spark = df.sparkSession
     where = fresh_place(spark, label)
