@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import if_small
+
 #: At most this many heavy terms are broadcast, each of at most this many characters: a bound of 32 MB.
 HEAVY, HEAVY_CHARS = 4096, 2000
 
@@ -73,5 +75,5 @@ def frequencies(records: DataFrame) -> DataFrame:
 
 def marked(counts: DataFrame, totals: DataFrame, *, rare: int = 2, common: int = 40) -> DataFrame:
     """counts with mark: 'common' if more than 1/common of all records of the field hold the term, else 'rare' if at most ``rare`` do."""
-    rows = counts.join(F.broadcast(totals), "field")
+    rows = counts.join(if_small(totals), "field")
     return rows.withColumn("mark", F.when(F.col("n_records") * common > F.col("n_all"), "common").when(F.col("n_records") <= rare, "rare"))
