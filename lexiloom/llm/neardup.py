@@ -107,15 +107,16 @@ def _group(cls: str) -> Column:
 def matrix(cls: DataFrame) -> DataFrame:
     """key, cls, n, most: the words or pairs of words, hashed, by which a class of n words is found, and the most common words there
     can be if none stands before or between them."""
-    sized = cls.withColumn("n", F.size("toks")).where("n > 1")
-    rarest = lambda m: F.slice("toks", 1, F.col("n") - need(F.col("n")) + m)
-    entry = lambda key, m, at: F.struct(key.alias("key"), (m + F.col("n") - 1 - at).alias("most"))
-    pairs = F.flatten(F.transform(rarest(2), lambda x, i: F.transform(F.slice(rarest(2), i + 2, F.col("n")), lambda y, k: entry(F.xxhash64(x, y), 2, i + 1 + k))))
-    single = F.transform(rarest(1), lambda x, i: entry(F.xxhash64(x), 1, i))
-    none = F.array().cast("array<struct<key:bigint,most:int>>")
+    n = F.col("n")
+    sized = cls.select("cls", F.size("toks").alias("n"), "toks").where("n > 1")
+    rarest = lambda m: F.slice("toks", 1, n - need(n) + m).alias("lead")
+    # each word with its place, then those after it: exploded one after the other, which Spark compiles
+    first = sized.where(n <= LONG).select("cls", "n", rarest(2)).select("cls", "n", "lead", F.posexplode("lead").alias("i", "x"))
+    pairs = first.select("cls", "n", "i", "x", F.posexplode(F.slice("lead", F.col("i") + 2, n)).alias("k", "y"))
+    pairs = pairs.select(F.xxhash64("x", "y").alias("key"), "cls", "n", (n - F.col("i") - F.col("k")).alias("most"))
     # a class that can be linked with a long one has need(LONG + 1) words at least
-    keys = F.concat(F.when(F.col("n") <= LONG, pairs).otherwise(none), F.when(F.col("n") >= need(F.lit(LONG + 1)), single).otherwise(none))
-    return sized.select("cls", "n", F.explode(keys).alias("k")).select("k.key", "cls", "n", "k.most")
+    single = sized.where(n >= need(F.lit(LONG + 1))).select("cls", "n", rarest(1)).select("cls", "n", F.posexplode("lead").alias("i", "x"))
+    return pairs.unionByName(single.select(F.xxhash64("x").alias("key"), "cls", "n", (n - F.col("i")).alias("most")))
 
 
 def links(cls: DataFrame) -> DataFrame:
